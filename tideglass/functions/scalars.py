@@ -27,16 +27,23 @@ def days_us(days: float) -> int:
 
 
 def name_uuid(text: Column) -> Column:
-    """Version 3 (name-based, MD5) UUID of a text, without a namespace prefix."""
-    digest = F.md5(text.cast("binary"))
-    variant = F.lower(F.hex(F.conv(F.substring(digest, 17, 1), 16, 10).cast("int").bitwiseAND(3).bitwiseOR(8)))
-    return F.concat(
-        F.substring(digest, 1, 8), F.lit("-"),
-        F.substring(digest, 9, 4), F.lit("-3"),
-        F.substring(digest, 14, 3), F.lit("-"),
-        variant, F.substring(digest, 18, 3), F.lit("-"),
-        F.substring(digest, 21, 12),
-    )
+    """Version 3 (name-based, MD5) UUID of a text, without a namespace prefix.
+
+    The digest is bound once through a one-element array: written inline, nested ids would repeat
+    their whole input expression for every part of the id.
+    """
+
+    def layout(digest: Column) -> Column:
+        variant = F.translate(F.substring(digest, 17, 1), "0123456789abcdef", "89ab" * 4)
+        return F.concat(
+            F.substring(digest, 1, 8), F.lit("-"),
+            F.substring(digest, 9, 4), F.lit("-3"),
+            F.substring(digest, 14, 3), F.lit("-"),
+            variant, F.substring(digest, 18, 3), F.lit("-"),
+            F.substring(digest, 21, 12),
+        )
+
+    return F.element_at(F.transform(F.array(F.md5(text.cast("binary"))), layout), 1)
 
 
 def blank(text: Column) -> Column:

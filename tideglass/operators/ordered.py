@@ -92,7 +92,7 @@ def rolling(
         ],
     )
     if not per_event:
-        return rows.withColumn(ts, F.timestamp_micros(_POS)).drop(_POS)
+        return rows.withColumn(ts, F.timestamp_micros(_POS).cast(df.schema[ts].dataType)).drop(_POS)
     return df.withColumn(_POS, micros(ts)).join(rows, [*keys, _POS], "left").drop(_POS)
 
 

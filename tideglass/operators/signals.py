@@ -92,17 +92,17 @@ def with_evidence(signals: DataFrame) -> tuple[DataFrame, DataFrame]:
 
 
 def evidence_drilldown(signals: DataFrame, features: DataFrame, status: str | None = "PROPOSED") -> DataFrame:
-    """Signals with the feature rows they cite, one row per (signal, evidence); unknown ids are skipped.
+    """Signals with the feature rows they cite, one row per (signal, known evidence).
 
-    A signal without any known evidence keeps one row with nulls.
+    Ids without a feature row are skipped; a signal left without evidence keeps one row of nulls.
     """
     chosen = signals if status is None else signals.filter(F.col("status") == status)
-    refs = chosen.select("*", F.explode_outer("evidence_ids").alias("evidence_id"))
+    refs = chosen.select("signal_id", F.explode("evidence_ids").alias("evidence_id"))
     facts = features.select(
         F.col("feature_value_id").alias("evidence_id"), "feature_name", F.col("state").alias("evidence_state"),
         F.col("value_numeric").alias("evidence_value"), "window_start", "window_end",
     )
-    return refs.join(facts, "evidence_id", "left")
+    return chosen.join(refs.join(facts, "evidence_id"), "signal_id", "left")
 
 
 def apply_dispositions(signals: DataFrame, decisions: DataFrame) -> tuple[DataFrame, DataFrame]:

@@ -1,3 +1,3 @@
 """Registered queries, by area. Importing this package fills the registry."""
 
-from tideglass.plans import payments  # noqa: F401
+from tideglass.plans import dpd, payments, utilization  # noqa: F401

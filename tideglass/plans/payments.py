@@ -110,6 +110,6 @@ def _(t):
     share = F.col("return_value").cast("double") / F.col("total").cast("double")
     return (
         points.join(exposure, "account_id").filter(share >= 0.015)
-        .select("account_id", F.col("event_time").cast("timestamp_ntz").alias("event_time"), F.round(share, 6).alias("returned_share"),
+        .select("account_id", "event_time", F.round(share, 6).alias("returned_share"),
                 F.when(share >= 0.03, "HIGH").otherwise("MEDIUM").alias("severity"))
     )
