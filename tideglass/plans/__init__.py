@@ -1,3 +1,3 @@
 """Registered queries, by area. Importing this package fills the registry."""
 
-from tideglass.plans import dpd, payments, temporal, utilization  # noqa: F401
+from tideglass.plans import aggregates, dpd, joins, payments, temporal, utilization  # noqa: F401

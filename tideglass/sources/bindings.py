@@ -99,7 +99,7 @@ FROM lineitem""",
     "b_market_quote": """
 SELECT concat_ws('-', l_orderkey, l_linenumber, l_partkey, l_suppkey, CAST(l_shipdate AS DATE)) AS quote_id,
        l_suppkey AS security_id, l_shipdate AS quote_time,
-       CAST(l_extendedprice / l_quantity AS DECIMAL(20,2)) AS price,
+       CAST(l_extendedprice AS DECIMAL(20,2)) AS price,
        CAST(100 * l_tax + 10 * l_discount AS DECIMAL(10,4)) AS yield_pct,
        CAST(l_quantity AS DECIMAL(20,2)) AS volume
 FROM lineitem""",
