@@ -1,3 +1,3 @@
 """Registered queries, by area. Importing this package fills the registry."""
 
-from tideglass.plans import aggregates, dpd, episodes, joins, payments, policies, temporal, utilization  # noqa: F401
+from tideglass.plans import aggregates, dpd, episodes, joins, payments, policies, risk, temporal, utilization  # noqa: F401

@@ -110,6 +110,21 @@ SELECT o.o_custkey AS owner_id, l.l_suppkey AS owned_id,
        l.l_shipdate AS valid_from, l.l_shipdate + INTERVAL 365 DAY AS valid_to,
        CAST(l.l_quantity / 50 AS DECIMAL(6,4)) AS confidence
 FROM lineitem l JOIN orders o ON l.l_orderkey = o.o_orderkey""",
+    # Contributors to hypotheses: a line is one detection about the counterparty named by its supplier.
+    "b_contributor": """
+SELECT concat_ws('-', l_orderkey, l_linenumber, l_partkey, l_suppkey, CAST(l_shipdate AS DATE)) AS contributor_id,
+       l_suppkey AS counterparty_id, l_shipdate AS effective_at,
+       CASE WHEN l_discount = 0.1 THEN 'PAYMENT_CURED' WHEN l_returnflag = 'R' THEN 'REPEATED_PAYMENT_RETURN'
+            WHEN l_returnflag = 'A' THEN 'DPD_DERIORATION' WHEN l_linestatus = 'O' THEN 'UTILIZATION_HIGH'
+            ELSE 'UTILIZATION_SPIKE' END AS analytical_type,
+       CASE WHEN l_quantity > 45 THEN 'CRITICAL' WHEN l_quantity > 30 THEN 'HIGH' WHEN l_quantity > 15 THEN 'MEDIUM'
+            WHEN l_quantity > 5 THEN 'LOW' ELSE 'INFO' END AS severity,
+       CAST(CAST(100 - 7 * floor(l_discount * 100 + 0.5) AS INT) AS DECIMAL(6,2)) / 100 AS confidence,
+       concat('L-', l_partkey % 37) AS lineage_group,
+       CASE WHEN l_tax = 0.08 THEN 'REJECTED' WHEN l_tax = 0.07 THEN 'CLOSED' ELSE 'PROPOSED' END AS status,
+       CASE WHEN l_tax = 0.04 THEN 'FALSE_POSITIVE' ELSE '' END AS disposition_tag,
+       CASE WHEN l_tax = 0.05 THEN 'STALE' WHEN l_tax = 0.06 THEN 'INSUFFICIENT' ELSE 'COMPLETE' END AS quality_state
+FROM lineitem""",
     # Policy versions: an order is one version of the policy named by its customer.
     "b_policy_version": """
 SELECT concat('POL-', o_custkey) AS policy_key, o_orderkey AS version_no, 'REFERENCE_INSTITUTION' AS institution_id,
@@ -200,5 +215,6 @@ class Tables:
     corporate_event = cached_property(lambda self: self.view("b_corporate_event"))
     market_quote = cached_property(lambda self: self.view("b_market_quote"))
     relationship = cached_property(lambda self: self.view("b_relationship"))
+    contributor = cached_property(lambda self: self.view("b_contributor"))
     policy_version = cached_property(lambda self: self.view("b_policy_version"))
     policy_rule = cached_property(lambda self: self.view("b_policy_rule"))
