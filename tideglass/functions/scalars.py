@@ -50,11 +50,12 @@ def blank(text: Column) -> Column:
     return text.isNull() | (F.trim(text) == "")
 
 
-def coerce_long(raw: Column) -> Column:
-    """Whole number given as a number or as text, otherwise null."""
-    text = raw.cast("string")
-    return F.when(text.rlike(r"^[+-]?\d+$"), text.try_cast("bigint")).otherwise(
-        F.when(text.rlike(r"^[+-]?\d+\.\d*$"), F.lit(None).cast("bigint"))
+def coerce_long(document: Column, path: str) -> Column:
+    """Whole number at a path of a variant, given as a number (cut to whole) or as whole-number text."""
+    text = F.try_variant_get(document, path, "string")
+    is_text = F.schema_of_variant(F.try_variant_get(document, path, "variant")) == "STRING"
+    return F.when(is_text, F.when(text.rlike(r"^[+-]?\d+$"), text.try_cast("bigint"))).otherwise(
+        text.try_cast("double").try_cast("bigint")
     )
 
 

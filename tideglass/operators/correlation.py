@@ -72,7 +72,7 @@ def independent_counts(supporting: DataFrame, keys: list[str]) -> DataFrame:
     """
     families = supporting.groupBy(*keys).agg(F.collect_set("family").alias("_families"), F.count(F.lit(1)).alias("raw_supporting"))
     linked = (
-        supporting.groupBy(*keys, "lineage_group").agg(F.sort_array(F.collect_set("family")).alias("_together"))
+        supporting.filter("lineage_group IS NOT NULL").groupBy(*keys, "lineage_group").agg(F.sort_array(F.collect_set("family")).alias("_together"))
         .filter(F.size("_together") > 1)
         .groupBy(*keys).agg(F.collect_set("_together").alias("_links"))
     )
