@@ -43,6 +43,8 @@ COUNTS = [
     ("material_control_weakness_count", 365, (17,)), ("financial_restatement_count_24m", 730, (18,)),
     ("profit_warning_count_12m", 365, (20,)), ("guidance_revision_count", 365, (21,)),
     ("registered_office_change_count_12m", 365, (22,)), ("status_change_count_12m", 365, (23,)),
+    ("late_payment_count_90d", 90, (39, 41)), ("temporary_limit_count_90d", 90, (42,)), ("adverse_news_count_90d", 90, (47,)),
+    ("lender_exit_count_12m", 365, (44,)),
 ]
 
 # Normalised rating scale, best first, with a probability of default in percent.

@@ -91,5 +91,13 @@ CORPORATE_EVENT_KINDS = [
     (15, "INSOLVENCY_END", "legal"), (16, "NON_RELIANCE", "reporting"), (17, "CONTROL_WEAKNESS", "reporting"),
     (18, "RESTATEMENT", "reporting"), (19, "ACCOUNTS_FILED", "reporting"), (20, "PROFIT_WARNING", "reporting"),
     (21, "GUIDANCE_REVISION", "reporting"), (22, "REGISTERED_OFFICE_CHANGE", "registry"),
-    (23, "STATUS_CHANGE", "registry"),
+    (23, "STATUS_CHANGE", "registry"), (24, "LC_DEVOLVED", "trade"), (25, "GUARANTEE_INVOKED", "trade"),
+    (26, "RESTRUCTURING_REQUEST", "conduct"), (27, "FORMAL_RESTRUCTURING", "legal"), (28, "LITIGATION_FILED", "legal"),
+    (29, "ENFORCEMENT_ACTION", "legal"), (30, "TAX_DEFAULT_DISCLOSED", "legal"), (31, "TAX_ATTACHMENT", "legal"),
+    (32, "INSURANCE_LAPSE", "collateral"), (33, "MONITORING_REFUSED", "monitoring"), (34, "STAKE_REDUCTION", "governance"),
+    (35, "OWNER_PLEDGE", "governance"), (36, "GOVERNANCE_EVENT", "governance"), (37, "MANAGEMENT_LITIGATION", "governance"),
+    (38, "MANAGEMENT_DEFAULT_LINK", "governance"), (39, "LATE_PAYMENT", "conduct"), (40, "OBLIGATION_MISSED", "conduct"),
+    (41, "INTEREST_DELAY", "conduct"), (42, "TEMPORARY_LIMIT_USED", "conduct"), (43, "INTERNAL_DOWNGRADE", "conduct"),
+    (44, "LENDER_EXIT", "funding"), (45, "RENEWAL_DELAY", "monitoring"), (46, "SECURITY_DELAY", "collateral"),
+    (47, "ADVERSE_NEWS", "news"),
 ]
