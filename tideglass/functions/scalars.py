@@ -22,6 +22,12 @@ def micros(ts) -> Column:
     return F.unix_micros((F.col(ts) if isinstance(ts, str) else ts).cast("timestamp"))
 
 
+def floor_div(x: Column, n) -> Column:
+    """Exact integer division rounding down, also for negative numbers."""
+    n = n if isinstance(n, Column) else F.lit(n)
+    return F.call_function("div", x - F.pmod(x, n), n)
+
+
 def days_us(days: float) -> int:
     return int(days * 86_400_000_000)
 

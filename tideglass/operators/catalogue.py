@@ -7,7 +7,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from tideglass.functions.scalars import days_us, micros
+from tideglass.functions.scalars import days_us, floor_div, micros
 from tideglass.operators.ordered import asof, rolling, with_previous
 from tideglass.sources.reference import values
 
@@ -127,7 +127,7 @@ def event_counts(events: DataFrame) -> DataFrame:
 def distinct_party_changes(events: DataFrame, name: str, kinds: list[int], days: int) -> DataFrame:
     """Distinct parties per slot of ``days`` and the change to the slot before (0 when that one is empty)."""
     length = days_us(days)
-    slots = events.filter(F.col("kind_no").isin(kinds)).withColumn("_s", F.floor(micros("event_time") / length))
+    slots = events.filter(F.col("kind_no").isin(kinds)).withColumn("_s", floor_div(micros("event_time"), F.lit(length).cast("bigint")))
     per = slots.groupBy("counterparty_id", "_s").agg(F.count_distinct("party_no").alias("parties"))
     before = per.select("counterparty_id", (F.col("_s") + 1).alias("_s"), F.col("parties").alias("_p"))
     rows = per.join(before, ["counterparty_id", "_s"], "left")

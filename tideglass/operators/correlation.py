@@ -6,7 +6,7 @@ from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from tideglass.functions.scalars import days_us, micros
+from tideglass.functions.scalars import days_us, floor_div, micros
 from tideglass.sources.reference import values
 
 
@@ -55,7 +55,7 @@ def candidates(contributors: DataFrame, policy: CorrelationPolicy) -> DataFrame:
         [(t, f, "SUPPORTING") for t, f in policy.families.items()] + [(t, t, "CONTRADICTING") for t in policy.contradicting],
     )
     length = days_us(policy.window_days)
-    slot = F.ceil(micros("effective_at") / length)
+    slot = -floor_div(-micros("effective_at"), F.lit(length).cast("bigint"))
     return (
         contributors.filter(gate).join(types, "analytical_type")
         .withColumn("as_of", F.timestamp_micros(slot * length).cast("timestamp_ntz"))

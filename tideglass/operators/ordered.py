@@ -1,29 +1,47 @@
-"""Ordered per-key computations that do not put a whole key into one task.
+"""Ordered per-key computations that do not put a hot key into one task.
 
 A window partitioned by a key alone sends every row of that key to one task, and a sliding RANGE
-frame re-aggregates its rows for each row. The operators here cut every key into blocks of the
-ordering column. Work inside a block is a running frame (one pass); what a block needs from the
-blocks before it comes from one small row per (key, block), built with map-side aggregation. The
-number of blocks of a key is limited by the calendar or by the block count, not by its rows.
+frame re-aggregates its rows for each row. Here most keys are one group, and a hot key is cut into
+blocks of the ordering column. Work inside a group is a running frame, one pass over sorted rows. What
+a block needs from earlier blocks comes as one extra row at its start, built with map-side
+aggregation; so there is one shuffle and one sort of the rows, and no join on the hot key.
+
+A key is hot when it has at least ``spark.tideglass.hotRows`` rows (default one million) and at least
+one thousandth of all rows. There can be no more than a thousand such keys, which bounds what is
+broadcast.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from tideglass.functions.scalars import days_us, micros
-
-_BLK = "_blk"
-_POS = "_pos"
+from tideglass.functions.scalars import days_us, floor_div, micros
 
+_BLK, _POS, _HOT, _ROW = "_blk", "_pos", "_hot", "_row"
 _MERGE = {"count": F.sum, "sum": F.sum, "max": F.max, "min": F.min}
+HOT_KEYS_AT_MOST = 1000
+
+
+def hot_keys(df: DataFrame, keys: list[str]) -> DataFrame:
+    """Keys that hold too many rows for one task; at most ``HOT_KEYS_AT_MOST`` rows."""
+    floor = int(df.sparkSession.conf.get("spark.tideglass.hotRows", "1000000"))
+    counts = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"))
+    total = counts.agg(F.sum("_n").alias("_all")).withColumn("_one", F.lit(1))
+    large = counts.filter(F.col("_n") >= floor).withColumn("_one", F.lit(1))
+    # The total is one row, as an ungrouped aggregate always is.
+    share = large.join(F.broadcast(total), "_one").filter(F.col("_n") * HOT_KEYS_AT_MOST >= F.col("_all"))
+    return share.select(*keys, F.lit(True).alias(_HOT))
+
+
+def _blocked(df: DataFrame, keys: list[str], block: Column) -> DataFrame:
+    """Add the block of each row: 0 for usual keys, ``block`` for hot ones."""
+    marked = df.join(F.broadcast(hot_keys(df, keys)), keys, "left")
+    return marked.withColumn(_BLK, F.when(F.col(_HOT), block).otherwise(F.lit(0).cast("bigint")))
 
 
 def _combine(fn: str, a: Column, b: Column) -> Column:
     if fn in ("count", "sum"):
-        return F.when(a.isNull() & b.isNull(), None).otherwise(
-            F.coalesce(a, F.lit(0)) + F.coalesce(b, F.lit(0))
-        )
+        return F.when(a.isNull() & b.isNull(), None).otherwise(F.coalesce(a, F.lit(0)) + F.coalesce(b, F.lit(0)))
     return F.greatest(a, b) if fn == "max" else F.least(a, b)
 
 
@@ -33,88 +51,77 @@ def rolling(
     ts: str,
     days: float,
     aggs: dict[str, tuple[str, str | Column]],
-    blocks_per_window: int = 30,
+    blocks_per_window: int | None = None,
     per_event: bool = True,
     include_current: bool = True,
 ) -> DataFrame:
     """Aggregates over the look-back [t - days, t] of every row, both ends included.
 
     ``aggs`` maps an output name to (count|sum|max|min, column). Rows are first reduced to one per
-    (key, time). The look-back ending at t is then the tail of the block it starts in, the full
-    blocks between, and the head of its own block: each is a running aggregate, so the cost per row
-    does not depend on how many rows a look-back holds. With ``include_current=False`` the frame
-    ends one microsecond before t. With ``per_event`` the result is joined back to the rows; the
-    join is free to split a hot key.
+    (key, time). Time is cut into blocks, one look-back long for usual keys and a fraction of it for
+    hot ones. The look-back ending at t is the tail of the block it starts in, the full blocks between,
+    and the head of its own block: each is a running aggregate, so the cost per row does not depend on
+    how many rows a look-back holds. With ``include_current=False`` the frame ends one microsecond
+    before t. With ``per_event`` the result is joined back to the rows; that join may split a hot key.
     """
+    cuts = blocks_per_window or max(1, int(days * 4))
     length = days_us(days)
-    width = length // blocks_per_window
-    length = width * blocks_per_window
     names = list(aggs)
-    parts = {}
+    parts = []
     for name, (fn, col) in aggs.items():
         value = F.col(col) if isinstance(col, str) else col
-        parts[name] = F.count(value) if fn == "count" else _MERGE[fn](value)
-    points = df.withColumn(_POS, micros(ts)).groupBy(*keys, _POS).agg(*[c.alias(n) for n, c in parts.items()])
-    points = points.withColumn(_BLK, F.floor(F.col(_POS) / width))
-
-    merged = [_MERGE[aggs[n][0]](n).alias(n) for n in names]
-    per_block = points.groupBy(*keys, _BLK).agg(*merged)
-    kind = F.lit
-    native = points.select(*keys, _BLK, _POS, *names, kind(0).alias("_kind"))
+        parts.append((F.count(value) if fn == "count" else _MERGE[fn](value)).alias(name))
+    points = df.withColumn(_POS, micros(ts)).groupBy(*keys, _POS).agg(*parts)
+    points = points.join(F.broadcast(hot_keys(points, keys)), keys, "left")
+    step = F.when(F.col(_HOT), F.lit(cuts)).otherwise(F.lit(1))
+    # Hot blocks are numbered in units of length / cuts; the same integer arithmetic places the copies.
+    points = points.withColumn("_step", step).withColumn(_BLK, floor_div(F.col(_POS) * F.col("_step"), F.lit(length).cast("bigint")))
+
+    native = points.select(*keys, _BLK, _POS, *names, F.lit(0).alias(_ROW))
     leaving = points.select(
-        *keys, (F.col(_BLK) + blocks_per_window).alias(_BLK), (F.col(_POS) + length).alias(_POS), *names,
-        kind(1).alias("_kind"),
+        *keys, (F.col(_BLK) + F.col("_step")).alias(_BLK), (F.col(_POS) + length).alias(_POS), *names, F.lit(1).alias(_ROW)
     )
     rows = native.unionByName(leaving)
-    if blocks_per_window > 1:
-        between = Window.partitionBy(*keys).orderBy(_BLK).rangeBetween(-(blocks_per_window - 1), -1)
+    if cuts > 1:
+        per_block = points.filter(F.col(_HOT)).groupBy(*keys, _BLK).agg(*[_MERGE[aggs[n][0]](n).alias(n) for n in names])
+        between = Window.partitionBy(*keys).orderBy(_BLK).rangeBetween(-(cuts - 1), -1)
         middle = per_block.select(
-            *keys, _BLK, (F.col(_BLK) * width - 1).alias(_POS),
-            *[_MERGE[aggs[n][0]](n).over(between).alias(n) for n in names],
-            kind(2).alias("_kind"),
+            *keys, _BLK, F.lit(-(2**62)).alias(_POS), *[_MERGE[aggs[n][0]](n).over(between).alias(n) for n in names], F.lit(2).alias(_ROW)
         )
         rows = rows.unionByName(middle)
 
     group = Window.partitionBy(*keys, _BLK)
-    head = group.orderBy(F.col(_POS).asc())
-    head = head.rangeBetween(Window.unboundedPreceding, 0 if include_current else -1)
+    head = group.orderBy(F.col(_POS).asc()).rangeBetween(Window.unboundedPreceding, 0 if include_current else -1)
     tail = group.orderBy(F.col(_POS).desc()).rangeBetween(Window.unboundedPreceding, Window.currentRow)
+    out = []
     for name in names:
-        fn = _MERGE[aggs[name][0]]
-        own = fn(F.when(F.col("_kind") != 1, F.col(name))).over(head)
-        old = fn(F.when(F.col("_kind") == 1, F.col(name))).over(tail)
-        rows = rows.withColumn(f"_r_{name}", _combine(aggs[name][0], own, old))
-    rows = rows.filter(F.col("_kind") == 0).select(
-        *keys, _POS,
-        *[
-            (F.coalesce(F.col(f"_r_{n}"), F.lit(0)) if aggs[n][0] == "count" else F.col(f"_r_{n}")).alias(n)
-            for n in names
-        ],
-    )
+        fn = aggs[name][0]
+        own = _MERGE[fn](F.when(F.col(_ROW) != 1, F.col(name))).over(head)
+        old = _MERGE[fn](F.when(F.col(_ROW) == 1, F.col(name))).over(tail)
+        rows = rows.withColumn(f"_own_{name}", own).withColumn(f"_old_{name}", old)
+        both = _combine(fn, F.col(f"_own_{name}"), F.col(f"_old_{name}"))
+        out.append((F.coalesce(both, F.lit(0)) if fn == "count" else both).alias(name))
+    rows = rows.filter(F.col(_ROW) == 0).select(*keys, _POS, *out)
     if not per_event:
         return rows.withColumn(ts, F.timestamp_micros(_POS).cast(df.schema[ts].dataType)).drop(_POS)
     return df.withColumn(_POS, micros(ts)).join(rows, [*keys, _POS], "left").drop(_POS)
 
 
-def _blocked(df: DataFrame, order: str | Column, width: int) -> DataFrame:
-    pos = order if isinstance(order, Column) else micros(order)
-    return df.withColumn(_BLK, F.floor(pos / width))
-
-
 def with_previous(
-    df: DataFrame, keys: list[str], ts: str, ties: list[str], cols: dict[str, str], days: float = 30
+    df: DataFrame, keys: list[str], ts: str, ties: list[str], cols: dict[str, str], days: float = 7
 ) -> DataFrame:
-    """Values of ``cols`` (output name -> column) on the row before this one in (ts, ties) order."""
-    width = days_us(days)
-    rows = _blocked(df, ts, width)
+    """Values of ``cols`` (output name -> column) on the row before this one in (ts, ties) order.
+
+    ``days`` is the block width of hot keys.
+    """
     value = F.struct(*[F.col(c).alias(n) for n, c in cols.items()])
-    last = rows.groupBy(*keys, _BLK).agg(F.max_by(value, F.struct(ts, *ties)).alias("_last"))
-    carry = last.select(*keys, _BLK, F.lag("_last").over(Window.partitionBy(*keys).orderBy(_BLK)).alias("_carry"))
-    within = Window.partitionBy(*keys, _BLK).orderBy(ts, *ties)
-    out = rows.join(carry, [*keys, _BLK], "left").withColumn(
-        "_prev", F.coalesce(F.lag(value).over(within), F.col("_carry"))
-    )
-    return out.select(*df.columns, *[F.col(f"_prev.{n}").alias(n) for n in cols])
+    rows = _blocked(df, keys, floor_div(micros(ts), F.lit(days_us(days)).cast("bigint"))).withColumn("_value", value).withColumn(_ROW, F.lit(0))
+    ends = rows.filter(F.col(_HOT)).groupBy(*keys, _BLK).agg(F.max_by("_value", F.struct(ts, *ties)).alias("_value"))
+    before = F.lag("_value").over(Window.partitionBy(*keys).orderBy(_BLK))
+    starts = ends.select(*keys, _BLK, before.alias("_value"), F.lit(-1).alias(_ROW)).filter(F.col("_value").isNotNull())
+    group = Window.partitionBy(*keys, _BLK).orderBy(_ROW, ts, *ties)
+    out = rows.unionByName(starts, allowMissingColumns=True).withColumn("_prev", F.lag("_value").over(group))
+    return out.filter(F.col(_ROW) == 0).select(*df.columns, *[F.col(f"_prev.{n}").alias(n) for n in cols])
 
 
 def running(
@@ -123,42 +130,44 @@ def running(
     ts: str,
     ties: list[str],
     aggs: dict[str, tuple[str, str | Column]],
-    days: float = 30,
+    days: float = 7,
     include_current: bool = True,
 ) -> DataFrame:
     """Aggregates of all rows of the key up to this one in (ts, ties) order.
 
-    ``aggs`` maps an output name to (count|sum|max|min|last, column); ``last`` is the newest
-    non-null value. Struct columns work with max, min and last.
+    ``aggs`` maps an output name to (count|sum|max|min|last, column); ``last`` is the newest non-null
+    value. Struct columns work with max, min and last. ``days`` is the block width of hot keys.
     """
-    width = days_us(days)
-    rows = _blocked(df, ts, width)
+    rows = _blocked(df, keys, floor_div(micros(ts), F.lit(days_us(days)).cast("bigint"))).withColumn(_ROW, F.lit(0))
     order = F.struct(ts, *ties)
-    block_aggs, carried, local = [], [], []
-    before = Window.partitionBy(*keys).orderBy(_BLK).rowsBetween(Window.unboundedPreceding, -1)
+    for name, (fn, col) in aggs.items():
+        value = F.col(col) if isinstance(col, str) else col
+        rows = rows.withColumn(f"_v_{name}", F.when(value.isNotNull(), F.lit(1).cast("bigint")) if fn == "count" else value)
+
+    def whole(name: str, fn: str) -> Column:
+        v = F.col(f"_v_{name}")
+        return F.max_by(v, F.when(v.isNotNull(), order)) if fn == "last" else _MERGE[fn](v)
+
+    def over(name: str, fn: str, frame) -> Column:
+        v = F.col(f"_v_{name}")
+        return (F.last(v, ignorenulls=True) if fn == "last" else _MERGE[fn](v)).over(frame)
+
+    blocks = rows.filter(F.col(_HOT)).groupBy(*keys, _BLK).agg(*[whole(n, fn).alias(f"_v_{n}") for n, (fn, _) in aggs.items()])
+    earlier = Window.partitionBy(*keys).orderBy(_BLK).rowsBetween(Window.unboundedPreceding, -1)
+    starts = blocks.select(
+        *keys, _BLK, F.lit(-1).alias(_ROW), *[over(n, fn, earlier).alias(f"_v_{n}") for n, (fn, _) in aggs.items()]
+    )
     within = (
-        Window.partitionBy(*keys, _BLK)
-        .orderBy(ts, *ties)
+        Window.partitionBy(*keys, _BLK).orderBy(_ROW, ts, *ties)
         .rowsBetween(Window.unboundedPreceding, 0 if include_current else -1)
     )
-    for name, (fn, col) in aggs.items():
-        value = F.col(col) if isinstance(col, str) else col
-        tmp = f"_v_{name}"
-        rows = rows.withColumn(tmp, value)
-        v = F.col(tmp)
-        if fn == "last":
-            block_aggs.append(F.max_by(v, F.when(v.isNotNull(), order)).alias(f"_b_{name}"))
-            carried.append(F.last(f"_b_{name}", ignorenulls=True).over(before).alias(f"_c_{name}"))
-            local.append(F.coalesce(F.last(v, ignorenulls=True).over(within), F.col(f"_c_{name}")))
-        else:
-            part = F.count if fn == "count" else _MERGE[fn]
-            block_aggs.append(part(v).alias(f"_b_{name}"))
-            carried.append(_MERGE[fn](f"_b_{name}").over(before).alias(f"_c_{name}"))
-            both = _combine(fn, part(v).over(within), F.col(f"_c_{name}"))
-            local.append(F.coalesce(both, F.lit(0)) if fn == "count" else both)
-    carry = rows.groupBy(*keys, _BLK).agg(*block_aggs).select(*keys, _BLK, *carried)
-    joined = rows.join(carry, [*keys, _BLK], "left")
-    return joined.select(*df.columns, *[c.alias(n) for n, c in zip(aggs, local)])
+    out = rows.unionByName(starts, allowMissingColumns=True)
+    for name, (fn, _) in aggs.items():
+        out = out.withColumn(f"_o_{name}", over(name, fn, within))
+    final = [
+        (F.coalesce(F.col(f"_o_{n}"), F.lit(0)) if fn == "count" else F.col(f"_o_{n}")).alias(n) for n, (fn, _) in aggs.items()
+    ]
+    return out.filter(F.col(_ROW) == 0).select(*df.columns, *final)
 
 
 def asof(
@@ -169,14 +178,13 @@ def asof(
     right_ts: str,
     cols: list[str],
     right_ties: list[str],
-    days: float = 30,
+    days: float = 7,
 ) -> DataFrame:
     """Newest right-hand values at or before each left row, null where there is none yet.
 
     Both sides are stacked and the last right-hand row is carried forward; nothing is multiplied.
     """
-    left_cols = left.columns
-    payload_l = F.struct(*[F.col(c) for c in left_cols])
+    payload_l = F.struct(*[F.col(c) for c in left.columns])
     payload_r = F.struct(*[F.col(c) for c in cols])
     tie = F.struct(*[F.col(c) for c in right_ties])
     stacked = left.select(*keys, F.col(left_ts).alias("_at"), F.lit(1).alias("_side"), payload_l.alias("_l")).unionByName(
@@ -194,51 +202,48 @@ def sessions(
 ) -> tuple[DataFrame, DataFrame]:
     """Group rows of a key whose neighbours are at most ``gap_days`` apart.
 
-    Returns (rows with session_start, one row per session with ``aggs``). Blocks are no wider than
-    the gap, so a block always lies inside one session and sessions are found from block extents.
+    Returns (rows with session_start, one row per session with ``aggs``). Blocks are no wider than the
+    gap, so a block always lies inside one session, and sessions are found from one row per block:
+    a key has as many of them as the calendar allows, however many rows it has.
     """
-    width = days_us(gap_days)
-    gap = width
-    rows = _blocked(df, ts, width)
+    gap = days_us(gap_days)
+    rows = df.withColumn(_BLK, floor_div(micros(ts), F.lit(gap).cast("bigint")))
     extents = rows.groupBy(*keys, _BLK).agg(F.min(ts).alias("_first"), F.max(ts).alias("_last"))
     by_block = Window.partitionBy(*keys).orderBy(_BLK)
     starts = extents.withColumn(
-        "_new",
-        F.coalesce(micros("_first") - F.lag(micros("_last")).over(by_block) > gap, F.lit(True)),
+        "_new", F.coalesce(micros("_first") - F.lag(micros("_last")).over(by_block) > gap, F.lit(True)),
     ).select(
         *keys, _BLK,
         F.last(F.when(F.col("_new"), F.col("_first")), ignorenulls=True)
-        .over(by_block.rowsBetween(Window.unboundedPreceding, 0))
-        .alias("session_start"),
+        .over(by_block.rowsBetween(Window.unboundedPreceding, 0)).alias("session_start"),
     )
     tagged = rows.join(starts, [*keys, _BLK], "left").drop(_BLK)
     return tagged, tagged.groupBy(*keys, "session_start").agg(*aggs)
 
 
-def ranked_values(df: DataFrame, keys: list[str], value: str, pieces: int = 64) -> DataFrame:
+def ranked_values(df: DataFrame, keys: list[str], value: str, pieces: int = 256) -> DataFrame:
     """Distinct values of each key with n (rows), below (rows with a smaller value) and total.
 
-    Approximate quantiles only choose the block borders; the counts are exact.
+    Keys with many distinct values are cut at approximate quantiles; these only choose the block
+    borders, the counts are exact.
     """
     counts = df.filter(F.col(value).isNotNull()).groupBy(*keys, value).agg(F.count(F.lit(1)).alias("n"))
-    borders = counts.groupBy(*keys).agg(
-        F.percentile_approx(F.col(value).cast("double"), [i / pieces for i in range(1, pieces)], 1000).alias("_cut")
-    )
-    blocked = counts.join(borders, keys).withColumn(
-        _BLK, F.size(F.filter("_cut", lambda c: c < F.col(value).cast("double")))
-    ).drop("_cut")
-    per_block = blocked.groupBy(*keys, _BLK).agg(F.sum("n").alias("_n"))
-    by_block = Window.partitionBy(*keys).orderBy(_BLK)
-    carry = per_block.select(
-        *keys, _BLK,
-        F.coalesce(F.sum("_n").over(by_block.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_before"),
-        F.sum("_n").over(Window.partitionBy(*keys)).alias("total"),
-    )
-    within = Window.partitionBy(*keys, _BLK).orderBy(value).rowsBetween(Window.unboundedPreceding, -1)
-    return blocked.join(carry, [*keys, _BLK]).select(
-        *keys, value, "n",
-        (F.col("_before") + F.coalesce(F.sum("n").over(within), F.lit(0))).alias("below"), "total",
+    number = F.col(value).cast("double")
+    marked = counts.join(F.broadcast(hot_keys(counts, keys)), keys, "left")
+    borders = marked.filter(F.col(_HOT)).groupBy(*keys).agg(
+        F.percentile_approx(number, [i / pieces for i in range(1, pieces)], 10000).alias("_cut")
     )
+    # One row of ``pieces`` borders for each of at most a thousand hot keys.
+    rows = marked.join(F.broadcast(borders), keys, "left").withColumn(
+        _BLK, F.when(F.col("_cut").isNull(), 0).otherwise(F.size(F.filter("_cut", lambda c: c < number)))
+    ).drop("_cut").withColumn(_ROW, F.lit(0))
+    blocks = rows.filter(F.col(_HOT)).groupBy(*keys, _BLK).agg(F.sum("n").alias("n"))
+    earlier = Window.partitionBy(*keys).orderBy(_BLK).rowsBetween(Window.unboundedPreceding, -1)
+    starts = blocks.select(*keys, _BLK, F.lit(-1).alias(_ROW), F.sum("n").over(earlier).alias("n"))
+    within = Window.partitionBy(*keys, _BLK).orderBy(_ROW, value).rowsBetween(Window.unboundedPreceding, -1)
+    placed = rows.unionByName(starts, allowMissingColumns=True).withColumn("below", F.coalesce(F.sum("n").over(within), F.lit(0)))
+    totals = counts.groupBy(*keys).agg(F.sum("n").alias("total"))
+    return placed.filter(F.col(_ROW) == 0).join(totals, keys).select(*keys, value, "n", "below", "total")
 
 
 def exact_median(ranked: DataFrame, keys: list[str], value: str) -> DataFrame:
