@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from tideglass.functions.scalars import BANDS, blank, duration_seconds
 from tideglass.operators.correlation import independent_counts
-from tideglass.operators.ordered import with_previous
+from tideglass.operators.ordered import running, with_previous
 from tideglass.sources.reference import FEATURE_REGISTRY, HYPOTHESIS_REGISTRY, RISK_DIMENSIONS, SIGNAL_REGISTRY, values
 
 FINDING = ["rule_id", "code", "object_id", "detail"]
@@ -220,11 +220,9 @@ def aggregation_policy(policies: DataFrame, bands: DataFrame, dimensions: DataFr
     """RAP-001 scale, 002 bands, 003 severity order, 004/005/006 dimensions, 007-009 weights, 010/011 substitution."""
     scale = policies.select("policy_id", "scale_minimum", "scale_maximum")
     lo, hi = F.col("scale_minimum"), F.col("scale_maximum")
-    # A policy has a handful of bands and dimensions; these windows and sets are per policy version.
-    in_order = Window.partitionBy("policy_id").orderBy("minimum", "band")
-    ranked = bands.join(scale, "policy_id").withColumn("_before", F.lag("minimum").over(in_order)).withColumn(
-        "_again", F.count(F.lit(1)).over(Window.partitionBy("policy_id", "band").orderBy("minimum").rowsBetween(Window.unboundedPreceding, 0)) > 1
-    )
+    stepped = with_previous(bands, ["policy_id"], "minimum", ["band"], {"_before": "minimum"})
+    named = running(stepped, ["policy_id", "band"], "minimum", [], {"_times": ("count", F.lit(1))})
+    ranked = named.join(scale, "policy_id").withColumn("_again", F.col("_times") > 1)
     names = bands.groupBy("policy_id").agg(F.count(F.lit(1)).alias("_n"), *[F.min(F.when(F.col("band") == b, F.col("minimum"))).alias(f"_m{i}") for i, b in enumerate(BANDS)])
     shaped = names.join(scale, "policy_id")
     complete = (

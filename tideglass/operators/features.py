@@ -6,8 +6,8 @@ from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from tideglass.functions.scalars import age_days, name_uuid, quality_state, safe_ratio, usable_dpd, value_state
-from tideglass.operators.ordered import asof, ranked_values, rolling, with_previous
+from tideglass.functions.scalars import NON_COUNTABLE_RETURNS, age_days, name_uuid, quality_state, safe_ratio, usable_dpd, value_state
+from tideglass.operators.ordered import asof, exact_median, ranked_values, rolling
 
 FEATURE_COLUMNS = [
     "feature_value_id", "definition_id", "feature_name", "definition_version", "entity_type", "entity_id", "state",
@@ -83,8 +83,6 @@ def feature_rows(
 
 
 def countable_returns(returns: DataFrame) -> DataFrame:
-    from tideglass.functions.scalars import NON_COUNTABLE_RETURNS
-
     category = F.col("return_reason_category")
     return returns.filter(category.isNotNull() & ~category.isin(NON_COUNTABLE_RETURNS))
 
@@ -170,8 +168,6 @@ def template_peer(df: DataFrame, cohort: list[str], value: str, minimum: int) ->
 
     A cohort smaller than ``minimum`` gives NOT_AVAILABLE and nulls.
     """
-    from tideglass.operators.ordered import exact_median
-
     ranked = ranked_values(df, cohort, value)
     v = F.col(value).cast("double")
     stats = df.groupBy(*cohort).agg(
@@ -225,10 +221,9 @@ def daily_excess(util: DataFrame) -> DataFrame:
 
 
 def excess_windows(daily: DataFrame, days: int = 30) -> DataFrame:
-    return rolling(
-        daily, ["facility_id"], "day", days,
-        {"excess_days": ("sum", "in_excess"), "max_excess_ratio": ("max", "excess_ratio")},
-    )
+    """Days in excess and worst ratio over the look-back; at most one row per calendar day and key."""
+    w = Window.partitionBy("facility_id").orderBy(F.unix_date(F.col("day").cast("date"))).rangeBetween(-days, 0)
+    return daily.withColumn("excess_days", F.sum("in_excess").over(w)).withColumn("max_excess_ratio", F.max("excess_ratio").over(w))
 
 
 def excess_runs(daily: DataFrame) -> DataFrame:
@@ -248,7 +243,3 @@ def excess_runs(daily: DataFrame) -> DataFrame:
         )
         .drop("_island")
     )
-
-
-def previous_values(df: DataFrame, keys: list[str], ts: str, ties: list[str], cols: dict[str, str]) -> DataFrame:
-    return with_previous(df, keys, ts, ties, cols)

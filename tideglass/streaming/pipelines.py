@@ -6,7 +6,6 @@ from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from tideglass.functions.scalars import micros
 from tideglass.operators.ordered import rolling
 from tideglass.session import new_path
 from tideglass.sources import sinks
