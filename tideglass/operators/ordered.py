@@ -6,9 +6,10 @@ blocks of the ordering column. Work inside a group is a running frame, one pass
 a block needs from earlier blocks comes as one extra row at its start, built with map-side
 aggregation; so there is one shuffle and one sort of the rows, and no join on the hot key.
 
-A key is hot when it has at least ``spark.tideglass.hotRows`` rows (default one million) and at least
-one thousandth of all rows. There can be no more than a thousand such keys, which bounds what is
-broadcast.
+Hot keys are looked up first, in one aggregation over the key columns alone: keys with at least
+``spark.tideglass.hotRows`` rows (default one million), the thousand largest of them. Every key beyond
+these holds less than a thousandth of all rows. Which keys are cut changes the work, never the
+result; where none is hot the plan is the plain window.
 """
 
 from __future__ import annotations
@@ -22,21 +23,25 @@ _MERGE = {"count": F.sum, "sum": F.sum, "max": F.max, "min": F.min}
 HOT_KEYS_AT_MOST = 1000
 
 
-def hot_keys(df: DataFrame, keys: list[str]) -> DataFrame:
-    """Keys that hold too many rows for one task; at most ``HOT_KEYS_AT_MOST`` rows."""
-    floor = int(df.sparkSession.conf.get("spark.tideglass.hotRows", "1000000"))
-    counts = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"))
-    total = counts.agg(F.sum("_n").alias("_all")).withColumn("_one", F.lit(1))
-    large = counts.filter(F.col("_n") >= floor).withColumn("_one", F.lit(1))
-    # The total is one row, as an ungrouped aggregate always is.
-    share = large.join(F.broadcast(total), "_one").filter(F.col("_n") * HOT_KEYS_AT_MOST >= F.col("_all"))
-    return share.select(*keys, F.lit(True).alias(_HOT))
+def hot_keys(df: DataFrame, keys: list[str]) -> DataFrame | None:
+    """Keys that hold too many rows for one task, at most ``HOT_KEYS_AT_MOST``; None where there are none."""
+    spark = df.sparkSession
+    floor = int(spark.conf.get("spark.tideglass.hotRows", "1000000"))
+    large = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n")).filter(F.col("_n") >= floor)
+    top = large.orderBy(F.desc("_n")).limit(HOT_KEYS_AT_MOST).select(*keys)
+    rows = top.collect()
+    return spark.createDataFrame(rows, top.schema).withColumn(_HOT, F.lit(True)) if rows else None
 
 
-def _blocked(df: DataFrame, keys: list[str], block: Column) -> DataFrame:
+def _mark(df: DataFrame, keys: list[str], hot: DataFrame | None) -> DataFrame:
+    return df.withColumn(_HOT, F.lit(None).cast("boolean")) if hot is None else df.join(F.broadcast(hot), keys, "left")
+
+
+def _blocked(df: DataFrame, keys: list[str], hot: DataFrame | None, block: Column) -> DataFrame:
     """Add the block of each row: 0 for usual keys, ``block`` for hot ones."""
-    marked = df.join(F.broadcast(hot_keys(df, keys)), keys, "left")
-    return marked.withColumn(_BLK, F.when(F.col(_HOT), block).otherwise(F.lit(0).cast("bigint")))
+    if hot is None:
+        return df.withColumn(_BLK, F.lit(0).cast("bigint"))
+    return _mark(df, keys, hot).withColumn(_BLK, F.when(F.col(_HOT), block).otherwise(F.lit(0).cast("bigint")))
 
 
 def _combine(fn: str, a: Column, b: Column) -> Column:
@@ -72,7 +77,8 @@ def rolling(
         value = F.col(col) if isinstance(col, str) else col
         parts.append((F.count(value) if fn == "count" else _MERGE[fn](value)).alias(name))
     points = df.withColumn(_POS, micros(ts)).groupBy(*keys, _POS).agg(*parts)
-    points = points.join(F.broadcast(hot_keys(points, keys)), keys, "left")
+    hot = hot_keys(df, keys)
+    points = _mark(points, keys, hot)
     step = F.when(F.col(_HOT), F.lit(cuts)).otherwise(F.lit(1))
     # Hot blocks are numbered in units of length / cuts; the same integer arithmetic places the copies.
     points = points.withColumn("_step", step).withColumn(_BLK, floor_div(F.col(_POS) * F.col("_step"), F.lit(length).cast("bigint")))
@@ -82,7 +88,7 @@ def rolling(
         *keys, (F.col(_BLK) + F.col("_step")).alias(_BLK), (F.col(_POS) + length).alias(_POS), *names, F.lit(1).alias(_ROW)
     )
     rows = native.unionByName(leaving)
-    if cuts > 1:
+    if hot is not None and cuts > 1:
         per_block = points.filter(F.col(_HOT)).groupBy(*keys, _BLK).agg(*[_MERGE[aggs[n][0]](n).alias(n) for n in names])
         between = Window.partitionBy(*keys).orderBy(_BLK).rangeBetween(-(cuts - 1), -1)
         middle = per_block.select(
@@ -107,6 +113,13 @@ def rolling(
     return df.withColumn(_POS, micros(ts)).join(rows, [*keys, _POS], "left").drop(_POS)
 
 
+def _last_of_block_before(rows: DataFrame, keys: list[str], last: Column) -> DataFrame:
+    """One row per block of a hot key, carrying the last value of the block before it."""
+    ends = rows.filter(F.col(_HOT)).groupBy(*keys, _BLK).agg(last.alias("_value"))
+    before = F.lag("_value").over(Window.partitionBy(*keys).orderBy(_BLK))
+    return ends.select(*keys, _BLK, before.alias("_value"), F.lit(-1).alias(_ROW)).filter(F.col("_value").isNotNull())
+
+
 def with_previous(
     df: DataFrame, keys: list[str], ts: str, ties: list[str], cols: dict[str, str], days: float = 7
 ) -> DataFrame:
@@ -115,12 +128,13 @@ def with_previous(
     ``days`` is the block width of hot keys.
     """
     value = F.struct(*[F.col(c).alias(n) for n, c in cols.items()])
-    rows = _blocked(df, keys, floor_div(micros(ts), F.lit(days_us(days)).cast("bigint"))).withColumn("_value", value).withColumn(_ROW, F.lit(0))
-    ends = rows.filter(F.col(_HOT)).groupBy(*keys, _BLK).agg(F.max_by("_value", F.struct(ts, *ties)).alias("_value"))
-    before = F.lag("_value").over(Window.partitionBy(*keys).orderBy(_BLK))
-    starts = ends.select(*keys, _BLK, before.alias("_value"), F.lit(-1).alias(_ROW)).filter(F.col("_value").isNotNull())
+    hot = hot_keys(df, keys)
+    block = floor_div(micros(ts), F.lit(days_us(days)).cast("bigint"))
+    rows = _blocked(df, keys, hot, block).withColumn("_value", value).withColumn(_ROW, F.lit(0))
+    if hot is not None:
+        rows = rows.unionByName(_last_of_block_before(rows, keys, F.max_by("_value", F.struct(ts, *ties))), allowMissingColumns=True)
     group = Window.partitionBy(*keys, _BLK).orderBy(_ROW, ts, *ties)
-    out = rows.unionByName(starts, allowMissingColumns=True).withColumn("_prev", F.lag("_value").over(group))
+    out = rows.withColumn("_prev", F.lag("_value").over(group))
     return out.filter(F.col(_ROW) == 0).select(*df.columns, *[F.col(f"_prev.{n}").alias(n) for n in cols])
 
 
@@ -138,7 +152,8 @@ def running(
     ``aggs`` maps an output name to (count|sum|max|min|last, column); ``last`` is the newest non-null
     value. Struct columns work with max, min and last. ``days`` is the block width of hot keys.
     """
-    rows = _blocked(df, keys, floor_div(micros(ts), F.lit(days_us(days)).cast("bigint"))).withColumn(_ROW, F.lit(0))
+    hot = hot_keys(df, keys)
+    rows = _blocked(df, keys, hot, floor_div(micros(ts), F.lit(days_us(days)).cast("bigint"))).withColumn(_ROW, F.lit(0))
     order = F.struct(ts, *ties)
     for name, (fn, col) in aggs.items():
         value = F.col(col) if isinstance(col, str) else col
@@ -152,16 +167,18 @@ def running(
         v = F.col(f"_v_{name}")
         return (F.last(v, ignorenulls=True) if fn == "last" else _MERGE[fn](v)).over(frame)
 
-    blocks = rows.filter(F.col(_HOT)).groupBy(*keys, _BLK).agg(*[whole(n, fn).alias(f"_v_{n}") for n, (fn, _) in aggs.items()])
-    earlier = Window.partitionBy(*keys).orderBy(_BLK).rowsBetween(Window.unboundedPreceding, -1)
-    starts = blocks.select(
-        *keys, _BLK, F.lit(-1).alias(_ROW), *[over(n, fn, earlier).alias(f"_v_{n}") for n, (fn, _) in aggs.items()]
-    )
+    out = rows
+    if hot is not None:
+        blocks = rows.filter(F.col(_HOT)).groupBy(*keys, _BLK).agg(*[whole(n, fn).alias(f"_v_{n}") for n, (fn, _) in aggs.items()])
+        earlier = Window.partitionBy(*keys).orderBy(_BLK).rowsBetween(Window.unboundedPreceding, -1)
+        starts = blocks.select(
+            *keys, _BLK, F.lit(-1).alias(_ROW), *[over(n, fn, earlier).alias(f"_v_{n}") for n, (fn, _) in aggs.items()]
+        )
+        out = rows.unionByName(starts, allowMissingColumns=True)
     within = (
         Window.partitionBy(*keys, _BLK).orderBy(_ROW, ts, *ties)
         .rowsBetween(Window.unboundedPreceding, 0 if include_current else -1)
     )
-    out = rows.unionByName(starts, allowMissingColumns=True)
     for name, (fn, _) in aggs.items():
         out = out.withColumn(f"_o_{name}", over(name, fn, within))
     final = [
@@ -229,19 +246,24 @@ def ranked_values(df: DataFrame, keys: list[str], value: str, pieces: int = 256)
     """
     counts = df.filter(F.col(value).isNotNull()).groupBy(*keys, value).agg(F.count(F.lit(1)).alias("n"))
     number = F.col(value).cast("double")
-    marked = counts.join(F.broadcast(hot_keys(counts, keys)), keys, "left")
-    borders = marked.filter(F.col(_HOT)).groupBy(*keys).agg(
-        F.percentile_approx(number, [i / pieces for i in range(1, pieces)], 10000).alias("_cut")
-    )
-    # One row of ``pieces`` borders for each of at most a thousand hot keys.
-    rows = marked.join(F.broadcast(borders), keys, "left").withColumn(
-        _BLK, F.when(F.col("_cut").isNull(), 0).otherwise(F.size(F.filter("_cut", lambda c: c < number)))
-    ).drop("_cut").withColumn(_ROW, F.lit(0))
-    blocks = rows.filter(F.col(_HOT)).groupBy(*keys, _BLK).agg(F.sum("n").alias("n"))
-    earlier = Window.partitionBy(*keys).orderBy(_BLK).rowsBetween(Window.unboundedPreceding, -1)
-    starts = blocks.select(*keys, _BLK, F.lit(-1).alias(_ROW), F.sum("n").over(earlier).alias("n"))
+    hot = hot_keys(counts, keys)
     within = Window.partitionBy(*keys, _BLK).orderBy(_ROW, value).rowsBetween(Window.unboundedPreceding, -1)
-    placed = rows.unionByName(starts, allowMissingColumns=True).withColumn("below", F.coalesce(F.sum("n").over(within), F.lit(0)))
+    if hot is None:
+        placed = counts.withColumn(_BLK, F.lit(0)).withColumn(_ROW, F.lit(0))
+    else:
+        marked = _mark(counts, keys, hot)
+        borders = marked.filter(F.col(_HOT)).groupBy(*keys).agg(
+            F.percentile_approx(number, [i / pieces for i in range(1, pieces)], 10000).alias("_cut")
+        )
+        # One row of ``pieces`` borders for each of at most a thousand hot keys.
+        rows = marked.join(F.broadcast(borders), keys, "left").withColumn(
+            _BLK, F.when(F.col("_cut").isNull(), 0).otherwise(F.size(F.filter("_cut", lambda c: c < number)))
+        ).drop("_cut").withColumn(_ROW, F.lit(0))
+        blocks = rows.filter(F.col(_HOT)).groupBy(*keys, _BLK).agg(F.sum("n").alias("n"))
+        earlier = Window.partitionBy(*keys).orderBy(_BLK).rowsBetween(Window.unboundedPreceding, -1)
+        starts = blocks.select(*keys, _BLK, F.lit(-1).alias(_ROW), F.sum("n").over(earlier).alias("n"))
+        placed = rows.unionByName(starts, allowMissingColumns=True)
+    placed = placed.withColumn("below", F.coalesce(F.sum("n").over(within), F.lit(0)))
     totals = counts.groupBy(*keys).agg(F.sum("n").alias("total"))
     return placed.filter(F.col(_ROW) == 0).join(totals, keys).select(*keys, value, "n", "below", "total")
 
