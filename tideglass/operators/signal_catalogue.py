@@ -127,3 +127,55 @@ def zscore(rows: DataFrame, z: str, limit: float, signal: str, liquid=None) -> D
     """|z| beyond the limit, only where the quality gate lets the figure count."""
     gate = F.lit(True) if liquid is None else liquid
     return rows.filter((F.abs(F.col(z)) >= limit) & gate).withColumn("signal_type", F.lit(signal))
+
+
+# (signal, series, direction, relative change, severity)
+SERIES = [
+    ("REGIONAL_ECONOMIC_STRESS", "revenue_by_market", "DOWN", 0.02, "MEDIUM"),
+    ("COMMODITY_INPUT_PRICE_SHOCK", "price_by_type", "UP", 0.02, "MEDIUM"),
+    ("INTEREST_RATE_SENSITIVITY_STRESS", "yield", "UP", 0.001, "LOW"),
+    ("FX_EXPOSURE_STRESS", "flow_by_nation", "DOWN", 0.1, "LOW"),
+]
+
+
+def series_stress(series: DataFrame, rows=SERIES) -> DataFrame:
+    """Relative change of sector and macro series to the period before, beyond a level.
+
+    ``series`` has one row per (series, member, period).
+    """
+    p = values(series.sparkSession, ["signal_type", "series", "direction", "level", "severity"], [(s, n, d, float(x), v) for s, n, d, x, v in rows])
+    moved = with_previous(series, ["series", "member"], "period", [], {"before": "total"}, days=3650)
+    change = (F.col("total").cast("double") - F.col("before").cast("double")) / F.col("before").cast("double")
+    adverse = F.when(F.col("direction") == "UP", F.col("change")).otherwise(-F.col("change"))
+    out = moved.filter("before > 0").withColumn("change", change).join(p, "series").filter(adverse >= F.col("level").cast("double"))
+    return out.select("signal_type", "member", "period", "change", "severity")
+
+
+def document_integrity(reconciled: DataFrame, factor: float) -> DataFrame:
+    """Figures that two sources do not share; a suspicion for review, never a finding."""
+    a, b, r = F.col("value_a"), F.col("value_b"), F.col("reconciliation")
+    kind = (
+        F.when(r == "MISSING_B", "INVOICE_FABRICATION_SUSPECTED").when(r == "MISSING_A", "INVENTORY_OR_BORROWING_BASE_INCONSISTENCY")
+        .when((r == "CONFLICTED") & (a >= b * factor), "TURNOVER_OVERSTATEMENT_SUSPECTED")
+        .when((r == "CONFLICTED") & (b >= a * factor), "RECEIVABLE_OR_DEBTOR_DATA_ANOMALY")
+        .when(r == "CONFLICTED", "FINANCIAL_DOCUMENT_INCONSISTENCY")
+    )
+    return reconciled.withColumn("signal_type", kind).filter("signal_type IS NOT NULL").withColumn("requires_review", F.lit(True))
+
+
+# (signal, share of a payer's outflow, level)
+FLOW = [
+    ("FUND_DIVERSION_SUSPECTED", "related_share", 0.10), ("RELATED_PARTY_DIVERSION_PATTERN", "related_share", 0.15),
+    ("FUND_SIPHONING_SUSPECTED", "distressed_share", 0.25), ("SHELL_ENTITY_EXPOSURE_SUSPECTED", "distressed_share", 0.35),
+    ("OUTSIDE_AGREED_ROUTING_ANOMALY", "outside_share", 0.90), ("END_USE_MISMATCH_SUSPECTED", "outside_share", 0.95),
+]
+
+
+def flow_patterns(flows: DataFrame, rows=FLOW) -> DataFrame:
+    """Shares of outflow by purpose against levels. ``flows`` has payer_id, amount and the three marks."""
+    part = lambda mark: F.sum(F.when(F.col(mark), F.col("amount")).otherwise(0)).cast("double") / F.sum("amount").cast("double")
+    per = flows.groupBy("payer_id").agg(
+        part("related_party").alias("related_share"), part("distressed").alias("distressed_share"), part("outside").alias("outside_share")
+    )
+    hits = F.array(*[F.when(F.col(share) >= level, F.lit(signal)) for signal, share, level in rows])
+    return per.select("payer_id", F.explode(F.filter(hits, lambda h: h.isNotNull())).alias("signal_type"))

@@ -258,3 +258,49 @@ def _(t):
     both = a.join(b, ["account_id", "event_time"])
     fire = lambda name, cond: both.filter(cond).select(F.lit(name).alias("signal_type"), "account_id", "event_time")
     return fire("CREDIT_INFLOW_DECLINE", "6 * s30 <= s120 - s30").unionByName(fire("TRANSACTION_VOLUME_COLLAPSE", "9 * n30 <= n120 - n30"))
+
+
+SERIES = """SELECT 'revenue_by_market' AS series, c.market AS member, s.period_start AS period, CAST(sum(s.revenue) AS DECIMAL(28,4)) AS total FROM b_statement s JOIN b_counterparty c ON s.counterparty_id = c.counterparty_id GROUP BY c.market, s.period_start
+UNION ALL SELECT 'price_by_type', p.p_type, date_trunc('year', l.l_shipdate), CAST(sum(CAST(l.l_extendedprice AS DECIMAL(20,2))) AS DECIMAL(28,4)) FROM lineitem l JOIN part p ON l.l_partkey = p.p_partkey GROUP BY p.p_type, date_trunc('year', l.l_shipdate)
+UNION ALL SELECT 'yield', 'ALL', date_trunc('month', quote_time), CAST(sum(yield_pct) AS DECIMAL(28,4)) FROM b_market_quote GROUP BY date_trunc('month', quote_time)
+UNION ALL SELECT 'flow_by_nation', CAST(c.c_nationkey AS VARCHAR(10)), date_trunc('quarter', f.event_time), CAST(sum(f.amount) AS DECIMAL(28,4)) FROM b_transfer f JOIN customer c ON f.payer_id = c.c_custkey GROUP BY c.c_nationkey, date_trunc('quarter', f.event_time)"""
+
+
+@query(
+    "signal_macro_series",
+    f"""WITH s AS ({SERIES}), l AS (SELECT *, lag(total) OVER (PARTITION BY series, member ORDER BY period) AS before FROM s), c AS (SELECT *, (CAST(total AS DOUBLE) - CAST(before AS DOUBLE)) / CAST(before AS DOUBLE) AS change FROM l WHERE before > 0)
+SELECT signal_type, member, CAST(period AS TIMESTAMP) AS period, round(change, 8) AS change, severity FROM c JOIN (VALUES {values_sql([(a, b, d, float(x), v) for a, b, d, x, v in sc.SERIES])}) p(signal_type, series, direction, level, severity) ON c.series = p.series WHERE CASE direction WHEN 'UP' THEN change ELSE -change END >= level""",
+)
+def _(t):
+    """Sector and macro series: region revenue, input prices, yields, flows by nation."""
+    out = sc.series_stress(t.sql(SERIES))
+    return out.select("signal_type", "member", F.col("period").cast("timestamp_ntz").alias("period"), F.round("change", 8).alias("change"), "severity")
+
+
+@query(
+    "signal_document_integrity",
+    """WITH a AS (SELECT o_orderkey AS k, CAST(sum(CAST(o_totalprice AS DECIMAL(20,2))) AS DOUBLE) AS v FROM orders GROUP BY 1), b AS (SELECT l_orderkey AS k, CAST(sum(CAST(l_extendedprice AS DECIMAL(20,2))) AS DOUBLE) AS v FROM lineitem GROUP BY 1),
+j AS (SELECT k, a.v AS va, b.v AS vb FROM a FULL JOIN b USING (k))
+SELECT * FROM (SELECT k, CASE WHEN vb IS NULL THEN 'INVOICE_FABRICATION_SUSPECTED' WHEN va IS NULL THEN 'INVENTORY_OR_BORROWING_BASE_INCONSISTENCY' WHEN abs(va - vb) > 50000 THEN CASE WHEN va >= vb * 1.5 THEN 'TURNOVER_OVERSTATEMENT_SUSPECTED' WHEN vb >= va * 1.5 THEN 'RECEIVABLE_OR_DEBTOR_DATA_ANOMALY' ELSE 'FINANCIAL_DOCUMENT_INCONSISTENCY' END END AS signal_type, true AS requires_review FROM j) WHERE signal_type IS NOT NULL""",
+)
+def _(t):
+    from tideglass.operators.joins import reconcile
+
+    total = lambda table, key, col: t.base(table).groupBy(F.col(key).alias("k")).agg(F.sum(F.col(col).cast("decimal(20,2)")).cast("double").alias("v"))
+    both = reconcile(total("orders", "o_orderkey", "o_totalprice"), total("lineitem", "l_orderkey", "l_extendedprice"), ["k"], "v", 50000)
+    return sc.document_integrity(both, 1.5).select("k", "signal_type", "requires_review")
+
+
+FLOWS = """SELECT f.payer_id, f.amount, f.related_party, s.s_acctbal < 0 AS distressed, np.n_regionkey <> nb.n_regionkey AS outside FROM b_transfer f JOIN supplier s ON f.beneficiary_id = s.s_suppkey JOIN customer c ON f.payer_id = c.c_custkey
+JOIN nation np ON c.c_nationkey = np.n_nationkey JOIN nation nb ON s.s_nationkey = nb.n_nationkey"""
+
+
+@query(
+    "signal_flow_patterns",
+    f"""WITH f AS ({FLOWS}), p AS (SELECT payer_id, CAST(sum(CASE WHEN related_party THEN amount ELSE 0 END) AS DOUBLE) / CAST(sum(amount) AS DOUBLE) AS related_share, CAST(sum(CASE WHEN distressed THEN amount ELSE 0 END) AS DOUBLE) / CAST(sum(amount) AS DOUBLE) AS distressed_share,
+  CAST(sum(CASE WHEN outside THEN amount ELSE 0 END) AS DOUBLE) / CAST(sum(amount) AS DOUBLE) AS outside_share FROM f GROUP BY 1) """
+    + " UNION ALL ".join(f"SELECT payer_id, '{s}' AS signal_type FROM p WHERE {c} >= {x}" for s, c, x in sc.FLOW),
+)
+def _(t):
+    """Integrity patterns on outflows; always reviewed by a person."""
+    return sc.flow_patterns(t.sql(FLOWS))
