@@ -33,6 +33,19 @@ def test_query(spark, con, name):
         assert difference(df, con, sql) is None
 
 
+@pytest.mark.skipif(not os.path.isdir(SF_DIR), reason="given tables are not here")
+@pytest.mark.parametrize(
+    "name",
+    ["win_returned_payment_count_30d", "signal_dpd_worsening", "join_point_in_time", "utilization_ratio", "join_policy_version_overlap", "win_peer_percentile"],
+)
+def test_query_with_hot_keys(spark, con, name):
+    spark.conf.set("spark.tideglass.hotRows", "15")
+    try:
+        assert difference(entry.queries()[name](spark, SF_DIR), con, entry.oracle_sql()[name]) is None
+    finally:
+        spark.conf.unset("spark.tideglass.hotRows")
+
+
 def test_every_query_reads_given_tables():
     for name, sql in entry.oracle_sql().items():
         assert any(f" {t}" in sql for t in ("lineitem", "orders", "customer", "supplier", "events", "documents", "labels")), name

@@ -33,10 +33,12 @@ def local_session(cores: str = "8", shuffle_partitions: int = 8, app: str = "tid
 def shared_dir(spark: SparkSession) -> str:
     """Folder every executor can reach: the cluster's checkpoint folder.
 
-    A local temporary folder is used only where the cluster names none, as in tests.
+    A local temporary folder is used only in local mode, as in tests; a cluster must name one.
     """
     folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if folder is None:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder all executors share")
         folder = tempfile.mkdtemp(prefix="tideglass-")
     if spark.sparkContext.getCheckpointDir() is None:
         spark.sparkContext.setCheckpointDir(folder)
