@@ -34,10 +34,10 @@ WITH words AS (
 ), covered AS (
   SELECT doc_id, count(DISTINCT j) AS n FROM (SELECT doc_id, unnest([i, i + 1, i + 2]) AS j FROM repeated) GROUP BY doc_id
 ), lines AS (
-  SELECT doc_id, list_filter(string_split(text, chr(10)), x -> regexp_matches(x, '[^\x20\x09-\x0D]')) AS lines FROM words
+  SELECT doc_id, list_filter(string_split(text, chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) AS lines FROM words
 ), facts AS (
   SELECT w.doc_id, CAST(len(w.words) AS BIGINT) AS n_words,
-    CAST(coalesce(list_sum(list_transform(w.words, x -> length(x))), 0) AS BIGINT) AS word_chars,
+    CAST(coalesce(list_sum(list_transform(w.words, lambda x: length(x))), 0) AS BIGINT) AS word_chars,
     CAST(length(regexp_replace(w.text, '[^#*$%&|<>]', '', 'g')) AS BIGINT) AS n_symbols,
     CAST(length(regexp_replace(w.text, '[^!]', '', 'g')) AS BIGINT) AS n_bangs,
     CAST(len(l.lines) - len(list_distinct(l.lines)) AS BIGINT) AS n_dup_lines, CAST(len(l.lines) AS BIGINT) AS n_lines,
