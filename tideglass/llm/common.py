@@ -6,6 +6,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
 from tideglass.session import new_path, shared_dir
@@ -47,14 +48,18 @@ def slices(column: pa.Array, most: int = SLICE_BYTES) -> Iterator[tuple[int, int
 
 def text_lengths(column: pa.Array) -> np.ndarray:
     """UTF-8 bytes of each text, 0 for null."""
-    return pa.compute.fill_null(pa.compute.binary_length(column), 0).to_numpy(zero_copy_only=False).astype(np.int64)
+    return pc.fill_null(pc.binary_length(column), 0).to_numpy(zero_copy_only=False).astype(np.int64)
 
 
 def text_bytes(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """The texts' bytes in one array and the offsets that part them (null: empty)."""
-    lengths = text_lengths(column)
-    joined = b"".join(v for v in pa.compute.fill_null(column, "").cast(pa.binary() if pa.types.is_string(column.type) else pa.large_binary()).to_pylist())
-    return np.frombuffer(joined, dtype=np.uint8), np.concatenate(([0], np.cumsum(lengths)))
+    filled = pc.fill_null(column, "")
+    _, ends, data = filled.buffers()
+    if ends is None or data is None:
+        return np.zeros(0, np.uint8), np.zeros(len(column) + 1, np.int64)
+    kind = np.int64 if pa.types.is_large_string(filled.type) else np.int32
+    offsets = np.frombuffer(ends, kind)[filled.offset : filled.offset + len(filled) + 1].astype(np.int64)
+    return np.frombuffer(data, np.uint8)[offsets[0] : offsets[-1]], offsets - offsets[0]
 
 
 def numbered(df: DataFrame, keys: list[str], order: list[str], name: str = "rank", weight: str | None = None, pieces: int | None = None) -> DataFrame:

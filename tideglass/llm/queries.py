@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from tideglass.llm import quality_rules
+from tideglass.llm import license_scan, mixing, quality_rules, sharding
 from tideglass.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -61,3 +61,86 @@ def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
     judged = quality_rules.judge(table(spark, sf_dir, "documents"), always=counts)
     failed = (F.col("n_words") < 50) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))
     return judged.select("_row.doc_id", *counts, failed.alias("base_failed"), F.col("rejected_by").isNull().alias("kept"))
+
+
+_PHRASES = [(label, phrase.split()) for label, phrase in license_scan.PHRASES]
+_TEMPLATES = [(label, sorted(set(phrase.split()))) for label, phrase in license_scan.TEMPLATES]
+LICENSE_SQL = rf"""
+WITH lowered AS (
+  SELECT doc_id, translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS text FROM documents
+), words AS (
+  SELECT doc_id, text, regexp_extract_all(text, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM lowered
+), phrases(label, p) AS (VALUES {", ".join(f"('{label}', {words})" for label, words in _PHRASES)}),
+templates(t, label, s) AS (VALUES {", ".join(f"({i}, '{label}', {words})" for i, (label, words) in enumerate(_TEMPLATES))}),
+places AS (
+  SELECT doc_id, label, unnest(list_filter(range(0, len(w)), lambda i: w[i + 1 : i + len(p)] = p)) AS word FROM words, phrases
+), base AS (
+  SELECT doc_id, count(*) AS n, min(word) AS first_word, max(word) AS last_word, string_agg(DISTINCT label, ',' ORDER BY label) AS base_labels FROM places GROUP BY doc_id
+), blocks AS (
+  SELECT doc_id, list_distinct(regexp_extract_all(unnest(regexp_split_to_array(text, '\n|[.!?;][\x20\x09-\x0D]')), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')) AS b FROM lowered
+), hits AS (
+  SELECT doc_id, label, len(list_intersect(s, b)) / len(s) AS share FROM blocks, templates WHERE len(list_intersect(s, b)) >= {license_scan.THRESHOLD} * len(s)
+), best AS (SELECT doc_id, max(share) AS share FROM hits GROUP BY doc_id),
+named AS (
+  SELECT doc_id, string_agg(DISTINCT label, ',' ORDER BY label) AS labels FROM (SELECT doc_id, label FROM hits UNION ALL SELECT doc_id, label FROM places) GROUP BY doc_id
+)
+SELECT w.doc_id, CAST(len(w.w) AS BIGINT) AS n_words, CAST(coalesce(b.n, 0) AS BIGINT) AS n_base, CAST(b.first_word AS BIGINT) AS first_word, CAST(b.last_word AS BIGINT) AS last_word,
+  coalesce(b.base_labels, '') AS base_labels, coalesce(n.labels, '') AS labels, CASE WHEN b.n > 0 THEN 1.0 ELSE coalesce(best.share, 0.0) END::DOUBLE AS score
+FROM words w LEFT JOIN base b USING (doc_id) LEFT JOIN named n USING (doc_id) LEFT JOIN best USING (doc_id)
+"""
+
+
+@query("op9_license_scan", LICENSE_SQL)
+def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = license_scan.scan(table(spark, sf_dir, "documents"))
+    base, more = F.transform("places", lambda p: p["label"]), F.transform("matches", lambda m: m["label"])
+    words = F.transform("places", lambda p: p["word"])
+    joined = lambda labels: F.array_join(F.array_sort(F.array_distinct(labels)), ",")
+    best = F.coalesce(F.array_max(F.transform("matches", lambda m: m["containment"])), F.lit(0.0))
+    return found.select(
+        "doc_id", "n_words", F.size("places").cast("bigint").alias("n_base"), F.array_min(words).alias("first_word"), F.array_max(words).alias("last_word"),
+        joined(base).alias("base_labels"), joined(F.concat(base, more)).alias("labels"), F.when(F.size("places") > 0, F.lit(1.0)).otherwise(best).alias("score"),
+    )
+
+
+SHARDS = 8
+
+
+@query("op10_sharding")
+def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
+    made = sharding.range_shards(table(spark, sf_dir, "documents"), SHARDS)
+    return made.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
+
+
+#: Production weights: the large source at a fifth, the others alike; unlisted sources share one stream.
+WEIGHTS = {"src0": 20, **{f"src{i}": 4 for i in range(1, 20)}}
+REST_WEIGHT = 4
+
+MIXING_SQL = f"""
+WITH RECURSIVE weights(stream, c) AS (VALUES {", ".join(f"('{s}', {c})" for s, c in WEIGHTS.items())}, ('{mixing.REST}', {REST_WEIGHT})),
+docs AS (SELECT doc_id, coalesce(w.stream, '{mixing.REST}') AS stream FROM documents d LEFT JOIN weights w ON d.source = w.stream),
+ranked AS (SELECT doc_id, stream, row_number() OVER (PARTITION BY stream ORDER BY doc_id NULLS FIRST) - 1 AS block FROM docs),
+streams AS (SELECT list({{'s': stream, 'c': c, 'n': n, 'k': 0, 'done': 0}} ORDER BY stream) AS st FROM (SELECT stream, any_value(c) AS c, count(*) AS n FROM docs JOIN weights USING (stream) GROUP BY stream)),
+steps AS (
+  SELECT 0 AS slot, 0 AS t, list_sum(list_transform(st, lambda x: x.c)) AS total, st, NULL::VARCHAR AS chosen, NULL::BIGINT AS block FROM streams
+  UNION ALL
+  SELECT slot + 1, CASE WHEN gone THEN 0 ELSE t + 1 END, CASE WHEN gone THEN list_sum(list_transform(list_filter(after, lambda x: x.done < x.n), lambda x: x.c)) ELSE total END,
+    CASE WHEN gone THEN list_transform(list_filter(after, lambda x: x.done < x.n), lambda x: {{'s': x.s, 'c': x.c, 'n': x.n, 'k': 0, 'done': x.done}}) ELSE after END, pick.s, pick.done
+  FROM (
+    SELECT slot, t, total, pick, pick.done + 1 = pick.n AS gone,
+      list_transform(st, lambda x: CASE WHEN x.s = pick.s THEN {{'s': x.s, 'c': x.c, 'n': x.n, 'k': x.k + 1, 'done': x.done + 1}} ELSE x END) AS after
+    FROM (
+      SELECT slot, t, total, st,
+        list_sort(list_transform(list_filter(st, lambda x: x.k * total // x.c <= t), lambda x: {{'d': -((-(x.k + 1) * total) // x.c), 's': x.s, 'done': x.done, 'n': x.n}}))[1] AS pick
+      FROM steps WHERE len(st) > 0
+    )
+  )
+)
+SELECT doc_id, stream, CAST(ranked.block AS BIGINT) AS block, CAST(slot - 1 AS BIGINT) AS slot, CAST(slot - 1 AS BIGINT) AS position
+FROM ranked JOIN steps ON steps.chosen = ranked.stream AND steps.block = ranked.block
+"""
+
+
+@query("op5_source_mixing", MIXING_SQL)
+def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.positions(table(spark, sf_dir, "documents"), WEIGHTS, REST_WEIGHT)
