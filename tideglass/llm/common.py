@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
@@ -70,14 +71,16 @@ def numbered(df: DataFrame, keys: list[str], order: list[str], name: str = "rank
     spread over all pieces; one value of the order column stays together. ``weight`` names a column to add up too: the
     sum before the row comes as ``<name>_weight``.
     """
-    spark = df.sparkSession
     pieces = pieces or 4 * partitions(df)
     lead = order[0]
-    cuts = df.stat.approxQuantile(lead, [i / pieces for i in range(1, pieces)], 1 / (4 * pieces)) if df.schema[lead].dataType.typeName() != "string" else _string_cuts(df, lead, pieces)
-    cuts = sorted(set(cuts))
-    kind = df.schema[lead].dataType.simpleString()
-    piece = F.size(F.filter(F.array(*[F.lit(c).cast(kind) for c in cuts]), lambda c: c <= F.col(lead))) if cuts else F.lit(0)
-    rows = df.withColumn("_piece", F.when(F.col(lead).isNull(), -1).otherwise(piece))
+    cuts = np.array(sorted(set(df.stat.approxQuantile(lead, [i / pieces for i in range(1, pieces)], 1 / (4 * pieces)))))
+
+    @F.pandas_udf("int")
+    def piece(v: pd.Series) -> pd.Series:
+        return pd.Series(np.searchsorted(cuts, v.to_numpy(), "right").astype(np.int32))
+
+    # Beyond 2^53 neighbours may round to one number, so they share a piece; the order within it is exact.
+    rows = df.withColumn("_piece", F.coalesce(piece(F.coalesce(F.col(lead).cast("double"), F.lit(float("-inf")))), F.lit(0)))
     counts = rows.groupBy(*keys, "_piece").agg(F.count(F.lit(1)).alias("_n"), *([F.sum(weight).alias("_w")] if weight else []))
     before = Window.partitionBy(*keys).orderBy("_piece").rowsBetween(Window.unboundedPreceding, -1)
     starts = counts.select(*keys, "_piece", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_start"), *([F.coalesce(F.sum("_w").over(before), F.lit(0)).alias("_wstart")] if weight else []))
@@ -95,10 +98,6 @@ def numbered(df: DataFrame, keys: list[str], order: list[str], name: str = "rank
     return joined.select(*out)
 
 
-def _string_cuts(df: DataFrame, lead: str, pieces: int) -> list[str]:
-    raise TypeError(f"order column {lead} must be a number")
-
-
 def letters_lower(text: Column) -> Column:
     """A-Z in lower case, all else as it is."""
     return F.translate(text, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")

@@ -4,9 +4,10 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from tideglass.llm import license_scan, mixing, quality_rules, sharding
+from tideglass.llm import license_scan, mixing, packing, quality_rules, sharding, token_counts
 from tideglass.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -144,3 +145,17 @@ FROM ranked JOIN steps ON steps.chosen = ranked.stream AND steps.block = ranked.
 @query("op5_source_mixing", MIXING_SQL)
 def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.positions(table(spark, sf_dir, "documents"), WEIGHTS, REST_WEIGHT)
+
+
+VOCABULARY = public_tokenizers.path("byte_bpe_50k.json")
+SEQUENCE, TOKEN_LIMIT = 2048, 1024
+
+
+@query("op3_best_fit_packing")
+def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(table(spark, sf_dir, "documents"), VOCABULARY, SEQUENCE)
+
+
+@query("op4_token_counts")
+def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_counts.count_tokens(table(spark, sf_dir, "documents"), VOCABULARY, TOKEN_LIMIT)
