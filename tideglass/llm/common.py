@@ -63,6 +63,18 @@ def text_bytes(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return np.frombuffer(data, np.uint8)[offsets[0] : offsets[-1]], offsets - offsets[0]
 
 
+def pieced(df: DataFrame, column: str, pieces: int, name: str = "_piece") -> DataFrame:
+    """Adds the piece of each row: its place among sampled quantiles of a number column, null as the smallest."""
+    cuts = np.array(sorted(set(df.stat.approxQuantile(column, [i / pieces for i in range(1, pieces)], 1 / (4 * pieces)))))
+
+    @F.pandas_udf("int")
+    def piece(v: pd.Series) -> pd.Series:
+        return pd.Series(np.searchsorted(cuts, v.to_numpy(), "right").astype(np.int32))
+
+    # Beyond 2^53 neighbours may round to one number, so they share a piece; the order within it is exact.
+    return df.withColumn(name, piece(F.coalesce(F.col(column).cast("double"), F.lit(float("-inf")))))
+
+
 def numbered(df: DataFrame, keys: list[str], order: list[str], name: str = "rank", weight: str | None = None, pieces: int | None = None) -> DataFrame:
     """Exact 0-based place of each row within its ``keys``, by ``order``, as column ``name``.
 
@@ -71,16 +83,7 @@ def numbered(df: DataFrame, keys: list[str], order: list[str], name: str = "rank
     spread over all pieces; one value of the order column stays together. ``weight`` names a column to add up too: the
     sum before the row comes as ``<name>_weight``.
     """
-    pieces = pieces or 4 * partitions(df)
-    lead = order[0]
-    cuts = np.array(sorted(set(df.stat.approxQuantile(lead, [i / pieces for i in range(1, pieces)], 1 / (4 * pieces)))))
-
-    @F.pandas_udf("int")
-    def piece(v: pd.Series) -> pd.Series:
-        return pd.Series(np.searchsorted(cuts, v.to_numpy(), "right").astype(np.int32))
-
-    # Beyond 2^53 neighbours may round to one number, so they share a piece; the order within it is exact.
-    rows = df.withColumn("_piece", F.coalesce(piece(F.coalesce(F.col(lead).cast("double"), F.lit(float("-inf")))), F.lit(0)))
+    rows = pieced(df, order[0], pieces or 4 * partitions(df))
     counts = rows.groupBy(*keys, "_piece").agg(F.count(F.lit(1)).alias("_n"), *([F.sum(weight).alias("_w")] if weight else []))
     before = Window.partitionBy(*keys).orderBy("_piece").rowsBetween(Window.unboundedPreceding, -1)
     starts = counts.select(*keys, "_piece", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_start"), *([F.coalesce(F.sum("_w").over(before), F.lit(0)).alias("_wstart")] if weight else []))

@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from tideglass.llm import license_scan, mixing, packing, quality_rules, sharding, token_counts
+from tideglass.llm import fingerprints, license_scan, mixing, packing, quality_rules, sharding, token_counts
 from tideglass.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -159,3 +159,8 @@ def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op4_token_counts")
 def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.count_tokens(table(spark, sf_dir, "documents"), VOCABULARY, TOKEN_LIMIT)
+
+
+@query("op2_document_fingerprints")
+def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fingerprints.neighbours(table(spark, sf_dir, "documents"))
