@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from tideglass.llm import fingerprints, license_scan, mixing, packing, quality_rules, sharding, token_counts
+from tideglass.llm import fingerprints, html_extract, language_id, license_scan, mixing, packing, quality_rules, sharding, token_counts
 from tideglass.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -164,3 +164,17 @@ def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op2_document_fingerprints")
 def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprints.neighbours(table(spark, sf_dir, "documents"))
+
+
+@query("op6_language_id")
+def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    remainder = language_id.fold("doc_id")
+    found = language_id.predict(docs, language_id.fit(docs.filter(remainder != 0)))
+    return found.select("doc_id", F.coalesce(remainder == 0, F.lit(False)).alias("held_out"), "lang_pred", "score", "accepted")
+
+
+@query("op8_html_extract")
+def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = html_extract.extract(table(spark, sf_dir, "pages"))
+    return found.select("own.page_id", "own.url", "text", F.length("text").cast("bigint").alias("n_chars"))
