@@ -16,7 +16,7 @@ WHITE = [*range(0x09, 0x0E), 0x20, 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0
 #: Endings split off after an apostrophe (fixed values), in the order in which they are tried.
 CONTRACTIONS = ("s", "t", "re", "ve", "m", "ll", "d")
 #: Distinct pre-tokens whose ids a worker remembers; beyond that it starts anew.
-REMEMBERED = 1 << 20
+REMEMBERED = 1 << 19
 
 
 def _classes() -> np.ndarray:

@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from tideglass.llm import fingerprints, html_extract, language_id, license_scan, mixing, packing, quality_rules, sharding, token_counts
+from tideglass.llm import fingerprints, html_extract, language_id, license_scan, mixing, ngram_join, packing, quality_rules, sharding, token_counts
 from tideglass.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -178,3 +178,8 @@ def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = html_extract.extract(table(spark, sf_dir, "pages"))
     return found.select("own.page_id", "own.url", "text", F.length("text").cast("bigint").alias("n_chars"))
+
+
+@query("op7_ngram_jaccard_join")
+def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_join.join(table(spark, sf_dir, "documents"))
