@@ -111,9 +111,12 @@ def positions(
 
 
 def mixed(docs: DataFrame, weights: dict[str, int], rest_weight: int = 1, id_col: str = "doc_id", source_col: str = "source", block_docs: int = 1) -> DataFrame:
-    """All rows with their columns, in mixed order: range-partitioned by position and sorted, so files written from it follow it."""
-    spread = positions(docs, weights, rest_weight, id_col, source_col, block_docs).groupBy(id_col).agg(F.sort_array(F.collect_list("position")).alias("_at"))
+    """All rows with their columns, in mixed order: range-partitioned by position and sorted, so files written from it follow it.
+
+    Rows of one id (or none) share the first place of theirs.
+    """
+    spread = positions(docs, weights, rest_weight, id_col, source_col, block_docs).groupBy(id_col).agg(F.min("position").alias("_at"))
     rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row"), F.col(id_col).alias("_id"))
     at = spread.select(F.col(id_col).alias("_other"), F.col("_at"))
-    joined = rows.join(at, F.col("_id").eqNullSafe(F.col("_other"))).withColumn("_at", F.element_at("_at", 1))
+    joined = rows.join(at, F.col("_id").eqNullSafe(F.col("_other")))
     return joined.repartitionByRange(partitions(docs), "_at").sortWithinPartitions("_at").select("_row.*")
