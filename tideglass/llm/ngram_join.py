@@ -145,10 +145,13 @@ def index_rows(groups: DataFrame) -> DataFrame:
 
 
 def possible(n1, n2, place1, place2, percent: int, least):
-    """Size and positional filters of two sets that share the shingle at these places; for arrays or columns alike."""
-    rest1, rest2 = n1 - place1 - 1, n2 - place2 - 1
-    most = least(place1, place2) + 1 + least(rest1, rest2)
-    return (100 * most >= percent * (n1 + n2 - most)) & (100 * n1 >= percent * n2) & (100 * n2 >= percent * n1)
+    """Whether two sets may be linked if the shingle at these places is the first in order that both have; for arrays or columns.
+
+    Nothing before it is shared, so the overlap is at most one and what follows it on either side. This also bounds the sizes.
+    A linked pair has such a shingle, its first common one, within both prefixes.
+    """
+    most = 1 + least(n1 - place1 - 1, n2 - place2 - 1)
+    return 100 * most >= percent * (n1 + n2 - most)
 
 
 def shared_shingles(index: DataFrame, percent: int) -> DataFrame:
