@@ -65,9 +65,10 @@ class _Element:
         if attributes and re.search(r"(?:^|\s)hidden(?:\s|/|$)", attributes):
             hidden = True
         top = parent is None
-        self.article = (not top and parent.article) or name in ("article", "main")
         self.away = (not top and parent.away) or name in AWAY
         self.against = (not top and parent.against) or bool(words & AGAINST)
+        # An advert or menu inside an article is no part of it, and a comment is none though it may be an article element.
+        self.article = ((not top and parent.article) or name in ("article", "main")) and not (self.away or self.against)
         self.head = (not top and parent.head) or (not self.article and (name == "header" or bool(words & HEAD_WORDS)))
         self.good = (not top and parent.good) or bool(words & FOR)
         self.hidden = (not top and parent.hidden) or hidden
