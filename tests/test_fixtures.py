@@ -198,3 +198,35 @@ def test_row_order_and_partitioning_do_not_matter(spark):
     base = sorted(one(sig.dpd_signals(feat.current_dpd_features(df)), "signal_id", "severity"))
     again = sorted(one(sig.dpd_signals(feat.current_dpd_features(df.orderBy(F.desc("event_id")).repartition(7))), "signal_id", "severity"))
     assert base == again and base
+
+
+def test_whole_numbers_beyond_doubles_are_kept(spark):
+    from tideglass.functions.scalars import coerce_long
+
+    rows = [("9007199254740993", 9007199254740993), ("9007199254740993.0", 9007199254740993), ("-1.7", -1), ("1e3", 1000), ("true", None), ("1e30", None), ('"9007199254740993"', 9007199254740993), ('"x"', None)]
+    df = spark.createDataFrame(rows, "j string, want long")
+    got = df.select("want", coerce_long(F.try_parse_json(F.concat(F.lit('{"x":'), "j", F.lit("}"))), "$.x").alias("got")).collect()
+    assert [r.got for r in got] == [r.want for r in got]
+
+
+def test_span_offsets_are_those_of_the_text(spark):
+    from tideglass.operators.text import candidate_spans
+
+    texts = [(1, "İİ going concern"), (2, "Going Concern, GOING CONCERN"), (3, "a (b+ [c a (B+ [c"), (3, "a (b+ [c"), (4, None), (5, "")]
+    got = candidate_spans(spark.createDataFrame(texts, "evidence_id int, text string"), [("going concern", "G", 0.9), ("a (b+ [c", "P", 0.5)]).collect()
+    assert sorted((r.evidence_id, r.span_start, r.span_end) for r in got) == [(1, 3, 16), (2, 0, 13), (2, 15, 28), (3, 0, 8), (3, 0, 8), (3, 9, 17)]
+
+
+def test_policies_apply_by_scope_and_period(spark):
+    from tideglass.operators.joins import applicable_policies
+
+    day = lambda s: f"TIMESTAMP_NTZ '{s} 00:00:00'"
+    policies = spark.sql(
+        f"""SELECT * FROM VALUES ('any', 'CORE', array(), array(), array(), {day('2020-01-01')}, NULL), ('in', 'JURISDICTION', array('IN', 'IN', 'US'), array(), array('LOAN'), {day('2020-01-01')}, {day('2021-01-01')}),
+        ('seg', 'SEGMENT', array('IN'), array('SME', '*'), array(), {day('2020-01-01')}, NULL), ('other', 'CORE', array(), array(), array('CARD'), {day('2020-01-01')}, NULL)
+        AS t(policy_id, level, jurisdictions, segments, entity_types, effective_from, effective_to)"""
+    )
+    facts = spark.sql(f"SELECT * FROM VALUES (1, 'IN', 'SME', {day('2020-06-01')}), (2, 'IN', '*', {day('2021-01-01')}), (3, 'US', NULL, {day('2020-06-01')}), (4, NULL, 'SME', {day('2019-06-01')}) AS t(id, jurisdiction, segment, at)")
+    found = applicable_policies(facts, policies, "LOAN", "at")
+    assert sorted((r.id, r.policy_id) for r in found.collect()) == [(1, "any"), (1, "in"), (1, "seg"), (2, "any"), (2, "seg"), (3, "any"), (3, "in")]
+    assert "NestedLoop" not in found._jdf.queryExecution().executedPlan().toString()

@@ -94,3 +94,21 @@ def test_ranks_and_median(facts):
     same(got.select("k", "x", "below"), want)
     med = {r.k: r.median_value for r in exact_median(got, ["k"], "x").collect()}
     assert med == {r.k: r.m for r in rows.groupBy("k").agg(F.median("x").alias("m")).collect()}
+
+
+def test_null_and_many_hot_keys(spark):
+    """Null keys are keys, and more than a thousand keys may be hot."""
+    spark.conf.set("spark.tideglass.hotRows", "2")
+    try:
+        rows = [(None if i % 7 == 0 else i % 1500, i, 1_000_000 * (i // 3), i % 5) for i in range(6000)]
+        df = spark.createDataFrame(rows, "k int, id int, us long, v int").withColumn("ts", F.timestamp_micros("us")).drop("us")
+        w = Window.partitionBy("k").orderBy("ts", "id")
+        same(with_previous(df, ["k"], "ts", ["id"], {"p": "v"}), df.select("*", F.lag("v").over(w).alias("p")))
+        run = running(df, ["k"], "ts", ["id"], {"n": ("count", "id")})
+        same(run, df.select("*", F.count("id").over(w.rowsBetween(Window.unboundedPreceding, 0)).alias("n")))
+        look = Window.partitionBy("k").orderBy(F.unix_micros("ts")).rangeBetween(-86_400_000_000, 0)
+        same(rolling(df, ["k"], "ts", 1, {"s": ("sum", "v")}), df.select("*", F.sum("v").over(look).alias("s")))
+        ranked = ranked_values(df, ["k"], "v")
+        same(ranked.select("k", "v", "n"), df.groupBy("k", "v").agg(F.count("id").alias("n")))
+    finally:
+        spark.conf.unset("spark.tideglass.hotRows")

@@ -57,12 +57,14 @@ def blank(text: Column) -> Column:
 
 
 def coerce_long(document: Column, path: str) -> Column:
-    """Whole number at a path of a variant, given as a number (cut to whole) or as whole-number text."""
+    """Whole number at a path of a variant, given as a number (cut to whole) or as whole-number text.
+
+    Numbers are read as bigint from the variant itself, so none passes through a double.
+    """
+    kind = F.schema_of_variant(F.try_variant_get(document, path, "variant"))
     text = F.try_variant_get(document, path, "string")
-    is_text = F.schema_of_variant(F.try_variant_get(document, path, "variant")) == "STRING"
-    return F.when(is_text, F.when(text.rlike(r"^[+-]?\d+$"), text.try_cast("bigint"))).otherwise(
-        text.try_cast("double").try_cast("bigint")
-    )
+    number = F.when(kind.rlike("^(BIGINT|INT|SMALLINT|TINYINT|DECIMAL|DOUBLE|FLOAT)"), F.try_variant_get(document, path, "bigint"))
+    return F.when(kind == "STRING", F.when(text.rlike(r"^[+-]?\d+$"), text.try_cast("bigint"))).otherwise(number)
 
 
 def coerce_decimal(raw: Column) -> Column:

@@ -8,21 +8,29 @@ from tideglass.functions.scalars import scope_contains
 from tideglass.operators.ordered import running
 
 
+ANY = "*"
+
+
 def applicable_policies(facts: DataFrame, policies: DataFrame, entity_type: str, at: str) -> DataFrame:
     """facts x policies whose scope admits the fact and whose period covers it.
 
     ``facts`` has jurisdiction and segment; ``policies`` has arrays jurisdictions, segments,
-    entity_types (empty = any) and effective_from / effective_to.
+    entity_types (empty = any) and effective_from / effective_to. A policy is listed under each pair of its
+    scope values, with a wildcard for an empty list, and a fact looks under its own values and the wildcard; so
+    the join is by equality, and a policy is met once, as it has either values or the wildcard.
     """
-    p, f = policies.alias("p"), facts.alias("f")
+    listed = lambda c: F.explode(F.when(F.size(c) == 0, F.array(F.lit(ANY))).otherwise(F.transform(F.array_distinct(c), lambda v: F.concat(F.lit("="), v))))
+    scoped = policies.filter(scope_contains(F.col("entity_types"), F.lit(entity_type))).select(
+        "policy_id", "level", "effective_from", "effective_to", "segments", listed("jurisdictions").alias("_j")
+    ).select("policy_id", "level", "effective_from", "effective_to", "_j", listed("segments").alias("_s"))
+    under = lambda c: F.explode(F.array_compact(F.array(F.lit(ANY), F.concat(F.lit("="), F.col(c)))))
+    asked = facts.withColumn("_j", under("jurisdiction")).withColumn("_s", under("segment"))
+    p, f = scoped.alias("p"), asked.alias("f")
     covers = (
-        scope_contains(F.col("p.entity_types"), F.lit(entity_type))
-        & scope_contains(F.col("p.jurisdictions"), F.col("f.jurisdiction"))
-        & scope_contains(F.col("p.segments"), F.col("f.segment"))
-        & (F.col("p.effective_from") <= F.col(f"f.{at}"))
+        (F.col("p._j") == F.col("f._j")) & (F.col("p._s") == F.col("f._s")) & (F.col("p.effective_from") <= F.col(f"f.{at}"))
         & (F.col("p.effective_to").isNull() | (F.col(f"f.{at}") < F.col("p.effective_to")))
     )
-    return f.join(p, covers).select("f.*", "p.policy_id", "p.level")
+    return f.join(p, covers).select(*[F.col(f"f.{c}") for c in facts.columns], "p.policy_id", "p.level")
 
 
 # Precedence of policy levels, most specific first.

@@ -6,10 +6,9 @@ blocks of the ordering column. Work inside a group is a running frame, one pass
 a block needs from earlier blocks comes as one extra row at its start, built with map-side
 aggregation; so there is one shuffle and one sort of the rows, and no join on the hot key.
 
-Hot keys are looked up first, in one aggregation over the key columns alone: keys with at least
-``spark.tideglass.hotRows`` rows (default one million), the thousand largest of them. Every key beyond
-these holds less than a thousandth of all rows. Which keys are cut changes the work, never the
-result; where none is hot the plan is the plain window.
+Hot keys are those with at least ``spark.tideglass.hotRows`` rows (default one million), all of them, null keys
+like any other. They stay a table that is joined, never a list on the driver. One look decides if there
+are any; which keys are cut changes the work, never the result; where none is hot the plan is the plain window.
 """
 
 from __future__ import annotations
@@ -20,21 +19,24 @@ from tideglass.functions.scalars import days_us, floor_div, micros
 
 _BLK, _POS, _HOT, _ROW = "_blk", "_pos", "_hot", "_row"
 _MERGE = {"count": F.sum, "sum": F.sum, "max": F.max, "min": F.min}
-HOT_KEYS_AT_MOST = 1000
+
+
+def join_null_safe(left: DataFrame, right: DataFrame, keys: list[str], how: str = "inner") -> DataFrame:
+    """Join on keys of which nulls are equal; columns of the left, then those of the right that are no keys."""
+    one, two = left.alias("_one"), right.alias("_two")
+    on = [F.col(f"_one.{k}").eqNullSafe(F.col(f"_two.{k}")) for k in keys]
+    return one.join(two, on, how).select(*[F.col(f"_one.{c}") for c in left.columns], *[F.col(f"_two.{c}") for c in right.columns if c not in keys])
 
 
 def hot_keys(df: DataFrame, keys: list[str]) -> DataFrame | None:
-    """Keys that hold too many rows for one task, at most ``HOT_KEYS_AT_MOST``; None where there are none."""
-    spark = df.sparkSession
-    floor = int(spark.conf.get("spark.tideglass.hotRows", "1000000"))
+    """Keys that hold too many rows for one task; None where there are none."""
+    floor = int(df.sparkSession.conf.get("spark.tideglass.hotRows", "1000000"))
     large = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n")).filter(F.col("_n") >= floor)
-    top = large.orderBy(F.desc("_n")).limit(HOT_KEYS_AT_MOST).select(*keys)
-    rows = top.collect()
-    return spark.createDataFrame(rows, top.schema).withColumn(_HOT, F.lit(True)) if rows else None
+    return None if large.isEmpty() else large.select(*keys, F.lit(True).alias(_HOT))
 
 
 def _mark(df: DataFrame, keys: list[str], hot: DataFrame | None) -> DataFrame:
-    return df.withColumn(_HOT, F.lit(None).cast("boolean")) if hot is None else df.join(F.broadcast(hot), keys, "left")
+    return df.withColumn(_HOT, F.lit(None).cast("boolean")) if hot is None else join_null_safe(df, hot, keys, "left")
 
 
 def _blocked(df: DataFrame, keys: list[str], hot: DataFrame | None, block: Column) -> DataFrame:
@@ -110,7 +112,7 @@ def rolling(
     rows = rows.filter(F.col(_ROW) == 0).select(*keys, _POS, *out)
     if not per_event:
         return rows.withColumn(ts, F.timestamp_micros(_POS).cast(df.schema[ts].dataType)).drop(_POS)
-    return df.withColumn(_POS, micros(ts)).join(rows, [*keys, _POS], "left").drop(_POS)
+    return join_null_safe(df.withColumn(_POS, micros(ts)), rows, [*keys, _POS], "left").drop(_POS)
 
 
 def _last_of_block_before(rows: DataFrame, keys: list[str], last: Column) -> DataFrame:
@@ -234,7 +236,7 @@ def sessions(
         F.last(F.when(F.col("_new"), F.col("_first")), ignorenulls=True)
         .over(by_block.rowsBetween(Window.unboundedPreceding, 0)).alias("session_start"),
     )
-    tagged = rows.join(starts, [*keys, _BLK], "left").drop(_BLK)
+    tagged = join_null_safe(rows, starts, [*keys, _BLK], "left").drop(_BLK)
     return tagged, tagged.groupBy(*keys, "session_start").agg(*aggs)
 
 
@@ -255,8 +257,7 @@ def ranked_values(df: DataFrame, keys: list[str], value: str, pieces: int = 256)
         borders = marked.filter(F.col(_HOT)).groupBy(*keys).agg(
             F.percentile_approx(number, [i / pieces for i in range(1, pieces)], 10000).alias("_cut")
         )
-        # One row of ``pieces`` borders for each of at most a thousand hot keys.
-        rows = marked.join(F.broadcast(borders), keys, "left").withColumn(
+        rows = join_null_safe(marked, borders, keys, "left").withColumn(
             _BLK, F.when(F.col("_cut").isNull(), 0).otherwise(F.size(F.filter("_cut", lambda c: c < number)))
         ).drop("_cut").withColumn(_ROW, F.lit(0))
         blocks = rows.filter(F.col(_HOT)).groupBy(*keys, _BLK).agg(F.sum("n").alias("n"))
@@ -265,7 +266,7 @@ def ranked_values(df: DataFrame, keys: list[str], value: str, pieces: int = 256)
         placed = rows.unionByName(starts, allowMissingColumns=True)
     placed = placed.withColumn("below", F.coalesce(F.sum("n").over(within), F.lit(0)))
     totals = counts.groupBy(*keys).agg(F.sum("n").alias("total"))
-    return placed.filter(F.col(_ROW) == 0).join(totals, keys).select(*keys, value, "n", "below", "total")
+    return join_null_safe(placed.filter(F.col(_ROW) == 0), totals, keys).select(*keys, value, "n", "below", "total")
 
 
 def exact_median(ranked: DataFrame, keys: list[str], value: str) -> DataFrame:

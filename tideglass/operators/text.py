@@ -2,13 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import DataFrame, Window, functions as F
 
 # (phrase, category, confidence)
 PHRASES = [
     ("going concern", "GOING_CONCERN_WARNING", 0.9), ("qualified opinion", "AUDITOR_QUALIFICATION_ADVERSE", 0.9),
     ("material uncertainty", "GOING_CONCERN_WARNING", 0.8), ("license", "LICENCE_REFERENCE", 0.5),
-    ("of the", "COMMON_PHRASE", 0.1), ("and the", "COMMON_PHRASE", 0.1),
 ]
 
 
@@ -21,27 +20,25 @@ def exact_copies(hashes: DataFrame) -> DataFrame:
     return hashes.groupBy("content_hash").agg(F.min("evidence_id").alias("first_id"), F.count(F.lit(1)).alias("copies")).filter("copies > 1")
 
 
-def _offsets(text: Column, phrase: str) -> Column:
-    """Start offsets (0-based, in characters) of all occurrences, from the lengths of the parts between them."""
-    parts = F.split(text, phrase.replace(".", r"\."))
-    step = len(phrase)
-    start = F.struct(F.lit(0).alias("pos"), F.array().cast("array<int>").alias("at"))
-    walked = F.aggregate(
-        F.slice(parts, 1, F.greatest(F.size(parts) - 1, F.lit(0))), start,
-        lambda acc, p: F.struct((acc["pos"] + F.length(p) + step).alias("pos"), F.concat(acc["at"], F.array(acc["pos"] + F.length(p))).alias("at")),
-    )
-    return walked["at"]
+def _anywhere(phrase: str) -> str:
+    """Regular expression of the phrase as it stands, in any case; nothing in it is read as a pattern."""
+    return r"(?iu)\Q" + phrase.replace(r"\E", r"\E\\E\Q") + r"\E"
 
 
 def candidate_spans(evidence: DataFrame, phrases=PHRASES) -> DataFrame:
-    """One row per phrase occurrence with its offsets; a candidate, never a confirmed fact."""
-    low = F.lower("text")
+    """One row per phrase occurrence with its offsets; a candidate, never a confirmed fact.
+
+    Offsets count characters of the text itself (0-based, end excluded): the text is split at the phrase in any case, never
+    lower-cased. A start is the sum of the parts before it, as a running sum over the text's own parts.
+    """
     hits = F.array(*[
-        F.struct(F.lit(p).alias("phrase"), F.lit(c).alias("category"), F.lit(conf).alias("confidence"), F.when(F.contains(low, F.lit(p)), _offsets(low, p)).alias("at"))
+        F.struct(F.lit(p).alias("phrase"), F.lit(c).alias("category"), F.lit(conf).alias("confidence"), F.transform(F.split("text", _anywhere(p)), F.length).alias("parts"))
         for p, c, conf in phrases
     ])
-    found = F.filter(hits, lambda h: h["at"].isNotNull())
-    rows = evidence.select("evidence_id", F.explode(found).alias("h")).select("evidence_id", "h.*")
-    return rows.select("evidence_id", "phrase", "category", "confidence", F.explode("at").alias("span_start")).withColumn(
-        "span_end", F.col("span_start") + F.length("phrase")
+    rows = evidence.select("evidence_id", F.monotonically_increasing_id().alias("_row"), F.explode(F.filter(hits, lambda h: F.size(h["parts"]) > 1)).alias("h"))
+    parts = rows.select("evidence_id", "_row", "h.phrase", "h.category", "h.confidence", F.size("h.parts").alias("_n"), F.posexplode("h.parts").alias("_i", "_length"))
+    before = Window.partitionBy("_row", "phrase").orderBy("_i").rowsBetween(Window.unboundedPreceding, 0)
+    start = (F.sum("_length").over(before) + F.col("_i") * F.length("phrase")).cast("int")
+    return parts.withColumn("span_start", start).filter("_i < _n - 1").select(
+        "evidence_id", "phrase", "category", "confidence", "span_start", (F.col("span_start") + F.length("phrase")).alias("span_end")
     )

@@ -136,14 +136,19 @@ EDGES = """e AS (SELECT concat('C', owner_id) AS src, concat('S', owned_id) AS d
 NODES = "SELECT concat('C', c_custkey) AS node FROM customer WHERE c_acctbal < 0 UNION ALL SELECT concat('S', s_suppkey) FROM supplier WHERE s_acctbal < 0"
 
 
+AS_OF = "1998-06-01 00:00:00"
+VALID = f"valid_from <= TIMESTAMP '{AS_OF}' AND TIMESTAMP '{AS_OF}' < valid_to"
+
+
 @query(
     "graph_group_components",
-    f"""WITH RECURSIVE x AS (SELECT DISTINCT concat('C', owner_id) AS a, concat('S', owned_id) AS b FROM (SELECT o.o_custkey AS owner_id, l.l_suppkey AS owned_id FROM lineitem l JOIN orders o ON l.l_orderkey = o.o_orderkey WHERE l.l_quantity >= 49 AND l.l_discount >= 0.09)),
+    f"""WITH RECURSIVE x AS (SELECT DISTINCT concat('C', owner_id) AS a, concat('S', owned_id) AS b FROM b_relationship WHERE edge_type = 'CONTROL' AND {VALID}),
 both_ways AS (SELECT a, b FROM x UNION SELECT b, a FROM x), r AS (SELECT a AS node, a AS other FROM both_ways UNION SELECT r.node, w.b FROM r JOIN both_ways w ON r.other = w.a)
 SELECT node, min(other) AS component FROM r GROUP BY node""",
 )
 def _(t):
-    control = t.relationship.filter("edge_type = 'CONTROL'")
+    """Groups under common control at a moment, over all control relations valid then."""
+    control = t.relationship.filter(f"edge_type = 'CONTROL' AND {VALID}")
     return gr.components(control.select(F.concat(F.lit("C"), "owner_id").alias("src"), F.concat(F.lit("S"), "owned_id").alias("dst")))
 
 
@@ -158,17 +163,16 @@ def contagion(t):
     return gr.contagion(t.sql(NODES), edges, 2).withColumn("strength", F.round("strength", 8))
 
 
-GROUPED = """ed AS (SELECT payer_id % 60 AS src, beneficiary_id % 60 AS dst, sum(amount) AS amount FROM b_transfer WHERE related_party GROUP BY ALL)"""
-
-
 @query(
     "signal_round_tripping",
-    f"""WITH {GROUPED} SELECT 'TWO' AS kind, a.src AS a, a.dst AS b, CAST(-1 AS BIGINT) AS c FROM ed a JOIN ed z ON a.src = z.dst AND a.dst = z.src WHERE a.src < a.dst
+    """WITH ed AS (SELECT * FROM b_related_flow)
+SELECT 'TWO' AS kind, a.src AS a, a.dst AS b, '' AS c FROM ed a JOIN ed z ON a.src = z.dst AND a.dst = z.src WHERE a.src < a.dst
 UNION ALL SELECT 'THREE', x.src, x.dst, y.dst FROM ed x JOIN ed y ON x.dst = y.src JOIN ed z ON y.dst = z.src AND z.dst = x.src WHERE x.src < x.dst AND x.src < y.dst AND x.dst <> y.dst""",
 )
 def _(t):
-    edges = t.sql(f"WITH {GROUPED} SELECT * FROM ed")
-    two = gr.two_cycles(edges).select(F.lit("TWO").alias("kind"), F.col("src").alias("a"), F.col("dst").alias("b"), F.lit(-1).cast("bigint").alias("c"))
+    """Money that comes back over two or three related parties; customers and suppliers keep their own ids."""
+    edges = t.related_flow
+    two = gr.two_cycles(edges).select(F.lit("TWO").alias("kind"), F.col("src").alias("a"), F.col("dst").alias("b"), F.lit("").alias("c"))
     three = gr.three_cycles(edges)
     back = F.col("direction") == "ACB"
     return two.unionByName(three.select(
@@ -178,12 +182,12 @@ def _(t):
 
 @query(
     "signal_graph",
-    f"""WITH {EDGES}, v AS (SELECT DISTINCT src, dst FROM e WHERE edge_type IN ('CONTROL','GUARANTEE')), n AS ({NODES})
+    f"""WITH {EDGES}, v AS (SELECT DISTINCT src, dst FROM e WHERE edge_type IN ('CONTROL','GUARANTEE') AND {VALID}), n AS ({NODES})
 SELECT CASE WHEN substr(dst, 1, 1) = 'C' THEN 'GUARANTOR_DISTRESS' ELSE 'MAJOR_CUSTOMER_DISTRESS' END AS signal_type, dst AS entity_id, count(*) AS distressed_links FROM v JOIN n ON v.src = n.node GROUP BY dst""",
 )
 def _(t):
-    """A related entity in distress; links are counted per entity, reduced before the shuffle."""
-    edges = t.sql(f"WITH {EDGES} SELECT * FROM e").filter("edge_type IN ('CONTROL','GUARANTEE')").select("src", "dst").distinct()
+    """A related entity in distress, by relations valid at the moment; links are counted per entity, reduced before the shuffle."""
+    edges = t.sql(f"WITH {EDGES} SELECT * FROM e").filter(f"edge_type IN ('CONTROL','GUARANTEE') AND {VALID}").select("src", "dst").distinct()
     hits = edges.join(t.sql(NODES).withColumnRenamed("node", "src"), "src", "left_semi").groupBy(F.col("dst").alias("entity_id")).agg(F.count(F.lit(1)).alias("distressed_links"))
     return hits.withColumn("signal_type", F.when(F.col("entity_id").startswith("C"), "GUARANTOR_DISTRESS").otherwise("MAJOR_CUSTOMER_DISTRESS"))
 

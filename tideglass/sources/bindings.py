@@ -48,6 +48,15 @@ SELECT concat_ws('-', l.l_orderkey, l.l_linenumber, l.l_partkey, l.l_suppkey, CA
        CAST(l.l_extendedprice AS DECIMAL(20,2)) AS amount, c.c_nationkey = s.s_nationkey AS related_party
 FROM lineitem l JOIN orders o ON l.l_orderkey = o.o_orderkey
 JOIN customer c ON o.o_custkey = c.c_custkey JOIN supplier s ON l.l_suppkey = s.s_suppkey""",
+    # Related parties' money: payments to suppliers, refunds to their payers, and what one supplier of an order hands to the next.
+    "b_related_flow": """
+SELECT concat('C', payer_id) AS src, concat('S', beneficiary_id) AS dst, CAST(sum(amount) AS DECIMAL(38,2)) AS amount FROM b_transfer WHERE related_party GROUP BY 1, 2
+UNION ALL
+SELECT concat('S', l.l_suppkey), concat('C', o.o_custkey), CAST(sum(CAST(l.l_extendedprice AS DECIMAL(20,2))) AS DECIMAL(38,2))
+FROM lineitem l JOIN orders o ON l.l_orderkey = o.o_orderkey WHERE l.l_returnflag = 'R' GROUP BY 1, 2
+UNION ALL
+SELECT concat('S', a.l_suppkey), concat('S', z.l_suppkey), CAST(sum(CAST(a.l_extendedprice AS DECIMAL(20,2))) AS DECIMAL(38,2))
+FROM lineitem a JOIN lineitem z ON a.l_orderkey = z.l_orderkey AND z.l_linenumber = a.l_linenumber + 1 WHERE a.l_suppkey <> z.l_suppkey GROUP BY 1, 2""",
     "b_feature_history": """
 SELECT event_id, user_id AS facility_id, ts AS effective_at, 1 AS revision,
        ts + INTERVAL 1 HOUR * CAST(event_id % 72 AS INT) AS knowledge_time, CAST(floor(value) AS INT) % 121 AS value_numeric
@@ -59,7 +68,9 @@ FROM events WHERE event_id % 20 = 0""",
 SELECT doc_id AS signal_no, CASE WHEN toxic = 1 THEN 'MARK_FALSE_POSITIVE' WHEN quality = 1 THEN 'ACCEPT' ELSE 'REJECT' END AS decision
 FROM labels""",
     "b_evidence": """
-SELECT doc_id AS evidence_id, source AS source_system, lang AS language, n_chars, text FROM documents""",
+SELECT doc_id AS evidence_id, source AS source_system, lang AS language, n_chars,
+       replace(replace(text, 'All rights reserved.', 'Material Uncertainty about going concern.'), 'Released under the MIT License.', 'The auditor gave a Qualified Opinion.') AS text
+FROM documents""",
     # Quarterly statements: sums of a customer's orders by status and priority stand for the lines
     # of the balance sheet and the income statement.
     "b_statement": """
@@ -105,7 +116,7 @@ SELECT concat_ws('-', l_orderkey, l_linenumber, l_partkey, l_suppkey, CAST(l_shi
 FROM lineitem""",
     "b_relationship": """
 SELECT o.o_custkey AS owner_id, l.l_suppkey AS owned_id,
-       CASE WHEN l.l_quantity >= 49 AND l.l_discount >= 0.09 THEN 'CONTROL'
+       CASE WHEN l.l_quantity >= 46 THEN 'CONTROL'
             WHEN l.l_returnflag = 'R' THEN 'GUARANTEE' ELSE 'TRADE' END AS edge_type,
        l.l_shipdate AS valid_from, l.l_shipdate + INTERVAL 365 DAY AS valid_to,
        CAST(l.l_quantity / 50 AS DECIMAL(6,4)) AS confidence
@@ -175,6 +186,8 @@ def with_views(sql: str) -> str:
     if not ordered:
         return body
     ctes = ",\n".join(f"{name} AS (\n{SQL_VIEWS[name].strip()}\n)" for name in ordered)
+    if body[:15].upper() == "WITH RECURSIVE ":
+        return f"WITH RECURSIVE {ctes},\n{body[15:]}"
     if body[:5].upper() == "WITH ":
         return f"WITH {ctes},\n{body[5:]}"
     return f"WITH {ctes}\n{body}"
@@ -207,6 +220,7 @@ class Tables:
     outstanding_changed = cached_property(lambda self: self.view("b_outstanding_changed"))
     counterparty = cached_property(lambda self: self.view("b_counterparty"))
     transfer = cached_property(lambda self: self.view("b_transfer"))
+    related_flow = cached_property(lambda self: self.view("b_related_flow"))
     feature_history = cached_property(lambda self: self.view("b_feature_history"))
     disposition = cached_property(lambda self: self.view("b_disposition"))
     evidence = cached_property(lambda self: self.view("b_evidence"))
