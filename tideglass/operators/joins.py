@@ -82,15 +82,20 @@ def unknown_references(rows: DataFrame, column: str, registry: DataFrame, name:
 
 
 def resolve_entities(rows: DataFrame, decisions: DataFrame, minimum: float) -> DataFrame:
-    """Canonical entity for each row: RESOLVED, REVIEW (weak or ambiguous) or UNRESOLVED."""
-    joined = rows.join(decisions, "source_entity_id", "left")
-    c = F.col("confidence")
+    """Canonical entity for each row: RESOLVED, REVIEW (weak or ambiguous) or UNRESOLVED. One row for each row.
+
+    Decisions are reduced to one per source entity first, the most confident; several canonical ids make it ambiguous.
+    """
+    others = [c for c in decisions.columns if c != "source_entity_id"]
+    order = F.struct("confidence", F.col("resolution_status") == "RESOLVED", "canonical_id")
+    one = decisions.groupBy("source_entity_id").agg(F.max_by(F.struct(*others), order).alias("_d"), F.count_distinct("canonical_id").alias("_ids"))
+    joined = rows.join(one.select("source_entity_id", "_d.*", "_ids"), "source_entity_id", "left")
     outcome = (
         F.when(F.col("canonical_id").isNull(), "UNRESOLVED")
-        .when((F.col("resolution_status") == "RESOLVED") & (c >= minimum), "RESOLVED")
+        .when((F.col("resolution_status") == "RESOLVED") & (F.col("confidence") >= minimum) & (F.col("_ids") == 1), "RESOLVED")
         .otherwise("REVIEW")
     )
-    return joined.withColumn("outcome", outcome)
+    return joined.withColumn("outcome", outcome).drop("_ids")
 
 
 def match_by_identifiers(identifiers: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -119,14 +124,19 @@ def valid_at(facts: DataFrame, reference: DataFrame, on: list[str], at: str) ->
 
 
 def flows_to_related(transfers: DataFrame, edges: DataFrame) -> DataFrame:
-    """Transfers whose beneficiary is linked to the payer at that time; semi join, nothing multiplied."""
-    e = edges.alias("e")
-    f = transfers.alias("f")
-    cond = (
-        (F.col("f.payer_id") == F.col("e.owner_id")) & (F.col("f.beneficiary_id") == F.col("e.owned_id"))
-        & (F.col("e.valid_from") <= F.col("f.event_time")) & (F.col("f.event_time") < F.col("e.valid_to"))
+    """Transfers whose beneficiary is linked to the payer at that time; as-of, nothing multiplied.
+
+    A transfer is covered if, of the pair's edges that have started by then, the one that lasts longest has not ended. So
+    edges and transfers of a pair are stacked and the furthest end seen is carried along; a hot pair is cut like any hot key.
+    """
+    keys = ["payer_id", "beneficiary_id"]
+    stacked = edges.select(
+        F.col("owner_id").alias("payer_id"), F.col("owned_id").alias("beneficiary_id"), F.col("valid_from").alias("_at"), F.lit(0).alias("_side"), F.col("valid_to").alias("_until")
+    ).unionByName(
+        transfers.select(*keys, F.col("event_time").alias("_at"), F.lit(1).alias("_side"), F.struct(*transfers.columns).alias("_flow")), allowMissingColumns=True
     )
-    return f.join(e, cond, "left_semi")
+    seen = running(stacked, keys, "_at", ["_side"], {"_last": ("max", "_until")})
+    return seen.filter((F.col("_side") == 1) & (F.col("_last") > F.col("_at")) & F.col("payer_id").isNotNull() & F.col("beneficiary_id").isNotNull()).select("_flow.*")
 
 
 def reconcile(a: DataFrame, b: DataFrame, keys: list[str], value: str, tolerance: float) -> DataFrame:

@@ -14,14 +14,14 @@ from tideglass.sources.reference import values
 # (signal, feature, operator, threshold, severity)
 THRESHOLD = [
     ("OPERATING_CASH_FLOW_NEGATIVE", "operating_cash_flow", "LT", 0, "HIGH"),
-    ("NET_LOSS_EMERGENCE", "ebitda_margin", "LT", 0, "HIGH"),
+    ("EBITDA_MARGIN_NEGATIVE", "ebitda_margin", "LT", 0, "HIGH"),
     ("REVENUE_MATERIAL_DECLINE", "revenue_yoy_change", "LT", -0.5, "HIGH"),
     ("BOND_PRICE_DISTRESS", "bond_price_drawdown_30d", "GTE", 0.95, "HIGH"),
     ("MARKET_PRICE_SHOCK", "bond_price_drawdown_5d", "GTE", 0.95, "CRITICAL"),
-    ("DRAWING_POWER_REDUCTION", "cash_balance_change", "LT", -0.8, "MEDIUM"),
+    ("CASH_BALANCE_MATERIAL_DECLINE", "cash_balance_change", "LT", -0.8, "MEDIUM"),
     ("NET_WORTH_EROSION", "tol_atnw", "GTE", 10, "HIGH"),
-    ("CONTINGENT_LIABILITY_SPIKE", "debt_ebitda", "GTE", 5, "MEDIUM"),
-    ("SECTOR_DEMAND_SHOCK", "revenue_yoy_change", "LT", -0.9, "CRITICAL"),
+    ("DEBT_EBITDA_EXCESSIVE", "debt_ebitda", "GTE", 5, "MEDIUM"),
+    ("REVENUE_COLLAPSE", "revenue_yoy_change", "LT", -0.9, "CRITICAL"),
 ]
 # (signal, feature, adverse direction, change, severity)
 TREND = [
@@ -29,7 +29,7 @@ TREND = [
     ("LEVERAGE_DERIORATION", "tol_atnw", "UP", 1.0, "HIGH"), ("QUICK_RATIO_DERIORATION", "quick_ratio", "DOWN", 1.0, "MEDIUM"),
     ("DEBT_EBITDA_DERIORATION", "debt_ebitda", "UP", 1.0, "HIGH"),
     ("INTEREST_COVERAGE_DERIORATION", "interest_coverage_ratio", "DOWN", 1.0, "HIGH"),
-    ("OPERATING_PROFIT_MATERIAL_DECLINE", "ebitda_margin", "DOWN", 0.5, "HIGH"),
+    ("EBITDA_MARGIN_MATERIAL_DECLINE", "ebitda_margin", "DOWN", 0.5, "HIGH"),
     ("EBITDA_MARGIN_DERIORATION", "ebitda_margin", "DOWN", 0.25, "MEDIUM"),
     ("RECEIVABLE_DAYS_DERIORATION", "receivable_days", "UP", 30, "MEDIUM"),
     ("INVENTORY_DAYS_DERIORATION", "inventory_days", "UP", 30, "MEDIUM"),
@@ -38,7 +38,7 @@ TREND = [
     ("EXTERNAL_RATING_DOWNGRADE", "external_rating_notch_change", "LEVEL", 2, "HIGH"),
     ("MARKET_IMPLIED_CREDIT_STRESS", "credit_spread_change_bps_30d", "LEVEL", 700, "HIGH"),
     ("BOND_YIELD_OR_SPREAD_STRESS", "bond_yield_change_bps_5d", "LEVEL", 700, "MEDIUM"),
-    ("FUNDING_COST_INCREASE", "bond_yield_change_bps_30d", "LEVEL", 750, "MEDIUM"),
+    ("BOND_YIELD_MATERIAL_INCREASE", "bond_yield_change_bps_30d", "LEVEL", 750, "MEDIUM"),
 ]
 # (signal, count feature, minimum, severity)
 RECURRENCE = [
@@ -63,7 +63,7 @@ RECURRENCE = [
 STATE = [
     ("LC_DEVOLVEMENT", 24, "HIGH"), ("GUARANTEE_INVOCATION", 25, "HIGH"), ("KEY_MANAGEMENT_RESIGNATION", 1, "MEDIUM"),
     ("CFO_RESIGNATION", 2, "HIGH"), ("AUDITOR_RESIGNATION", 4, "HIGH"), ("MATERIAL_OWNERSHIP_OR_CONTROL_CHANGE", 5, "MEDIUM"),
-    ("DEBT_ACCELERATION", 12, "CRITICAL"), ("GROUP_CROSS_DEFAULT", 11, "CRITICAL"), ("FORMAL_INSOLVENCY_PROCEEDING", 14, "CRITICAL"),
+    ("DEBT_ACCELERATION", 12, "CRITICAL"), ("GROUP_CROSS_DEFAULT", 48, "CRITICAL"), ("FORMAL_INSOLVENCY_PROCEEDING", 14, "CRITICAL"),
     ("FINANCIAL_REPORTING_RELIABILITY_CONCERN", 16, "HIGH"), ("RESTRUCTURING_REQUESTED", 26, "HIGH"),
     ("FORMAL_RESTRUCTURING_EVENT", 27, "CRITICAL"), ("MATERIAL_LITIGATION_FILED", 28, "MEDIUM"),
     ("REGULATORY_ENFORCEMENT_ACTION", 29, "HIGH"), ("STATUTORY_OR_TAX_DEFAULT_DISCLOSED", 30, "HIGH"),
@@ -73,9 +73,10 @@ STATE = [
     ("MANAGEMENT_LITIGATION_MATERIAL", 37, "MEDIUM"), ("MANAGEMENT_DEFAULT_ASSOCIATION", 38, "HIGH"),
     ("SCHEDULED_OBLIGATION_MISSED", 40, "HIGH"), ("INTEREST_SERVICING_DELAY", 41, "MEDIUM"),
     ("INTERNAL_RATING_DOWNGRADE", 43, "MEDIUM"), ("FACILITY_RENEWAL_OR_REVIEW_DELAY", 45, "LOW"),
-    ("SECURITY_CREATION_DELAY", 46, "MEDIUM"), ("SECURITY_PERFECTION_DELAY", 46, "MEDIUM"),
-    ("DEVOLVED_OR_INVOKED_OBLIGATION_UNPAID", 40, "HIGH"), ("REPUTATIONAL_CONTROVERSY", 47, "LOW"),
-    ("FINANCIAL_STATEMENT_DELAY", 19, "LOW"),
+    ("SECURITY_CREATION_DELAY", 46, "MEDIUM"), ("SECURITY_PERFECTION_DELAY", 49, "MEDIUM"),
+    ("DEVOLVED_OR_INVOKED_OBLIGATION_UNPAID", 50, "HIGH"), ("REPUTATIONAL_CONTROVERSY", 47, "LOW"),
+    ("FINANCIAL_STATEMENT_DELAY", 51, "LOW"), ("ADVERSE_NEWS_MATERIAL", 52, "MEDIUM"), ("REQUIRED_MONITORING_INFORMATION_DELAY", 53, "MEDIUM"),
+    ("DRAWING_POWER_REDUCTION", 54, "MEDIUM"),
 ]
 
 COLUMNS = ["signal_type", "entity_id", "observed_at", "value", "severity"]

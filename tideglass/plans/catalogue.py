@@ -186,21 +186,30 @@ def _(t):
     return peers(t, "ebitda_margin").select("entity_id", "observed_at", F.round("peer_delta", 8).alias("peer_delta"), "cohort_size")
 
 
+PEER_FEATURES = (("debt_ebitda", "debt_ebitda_peer_percentile"), ("tol_atnw", "leverage_peer_percentile"))
+
+
 @query("feature_peer", " UNION ALL ".join(
-    f"SELECT * FROM (WITH {PEER.format(name=n)} SELECT '{f}' AS feature_name, count(*) AS rows_ranked, CAST(round(sum(CASE WHEN n >= 30 THEN pct ELSE 0 END), 4) AS DOUBLE) AS percentile_sum FROM pk)"
-    for n, f in (("debt_ebitda", "debt_ebitda_peer_percentile"), ("tol_atnw", "leverage_peer_percentile"))
+    f"SELECT * FROM (WITH {PEER.format(name=n)} SELECT '{f}' AS feature_name, entity_id, observed_at, CASE WHEN n >= 30 THEN round(pct, 8) END AS value, CASE WHEN n >= 30 THEN 'VALUE' ELSE 'NOT_AVAILABLE' END AS state FROM pk)"
+    for n, f in PEER_FEATURES
 ))
 def _(t):
-    part = lambda n, f: peers(t, n).agg(F.count(F.lit(1)).alias("rows_ranked"), F.round(F.sum(F.coalesce("peer_percentile", F.lit(0.0))), 4).alias("percentile_sum")).withColumn("feature_name", F.lit(f))
-    return part("debt_ebitda", "debt_ebitda_peer_percentile").unionByName(part("tol_atnw", "leverage_peer_percentile"))
+    """One row per entity and period; a small cohort is NOT_AVAILABLE, not left out."""
+    part = lambda n, f: peers(t, n).select(F.lit(f).alias("feature_name"), "entity_id", "observed_at", F.round("peer_percentile", 8).alias("value"), F.col("peer_state").alias("state"))
+    (a, x), (b, y) = PEER_FEATURES
+    return part(a, x).unionByName(part(b, y))
 
 
 @query("feature_delta", """WITH p AS (SELECT *, lag(limit_amount) OVER (PARTITION BY facility_id ORDER BY effective_at, event_id) AS before FROM b_limit_changed)
-SELECT event_id, facility_id, round(CAST(limit_amount - before AS DOUBLE) / CAST(before AS DOUBLE), 8) AS committed_facility_change_pct FROM p WHERE before > 0""")
+SELECT event_id, facility_id, CASE WHEN before > 0 THEN round(CAST(limit_amount - before AS DOUBLE) / CAST(before AS DOUBLE), 8) END AS committed_facility_change_pct,
+  CASE WHEN before IS NULL THEN 'NOT_AVAILABLE' WHEN before <= 0 THEN 'INVALID' WHEN limit_amount = before THEN 'ZERO' ELSE 'VALUE' END AS state FROM p""")
 def _(t):
+    """Every change has a row: without a limit before it is NOT_AVAILABLE, after a limit of nothing INVALID."""
     rows = with_previous(t.limit_changed, ["facility_id"], "effective_at", ["event_id"], {"before": "limit_amount"}, days=365)
-    return rows.filter("before > 0").select(
-        "event_id", "facility_id", F.round((F.col("limit_amount") - F.col("before")).cast("double") / F.col("before").cast("double"), 8).alias("committed_facility_change_pct")
+    before, now = F.col("before"), F.col("limit_amount")
+    state = F.when(before.isNull(), "NOT_AVAILABLE").when(before <= 0, "INVALID").when(now == before, "ZERO").otherwise("VALUE")
+    return rows.select(
+        "event_id", "facility_id", F.when(before > 0, F.round((now - before).cast("double") / before.cast("double"), 8)).alias("committed_facility_change_pct"), state.alias("state")
     )
 
 
@@ -271,6 +280,18 @@ def _(t):
     )
 
 
+@query("signal_covenant_breach", """SELECT 'COVENANT_BREACH' AS signal_type, l_orderkey AS k, l_linenumber AS line, l_suppkey AS entity_id, CASE WHEN p_size % 2 = 0 THEN 'FLOOR' ELSE 'CAP' END AS covenant, 'HIGH' AS severity
+FROM lineitem JOIN part ON l_partkey = p_partkey WHERE CASE WHEN p_size % 2 = 0 THEN l_extendedprice < p_retailprice * 50 ELSE l_extendedprice > p_retailprice * 50 END""")
+def _(t):
+    """COVENANT_BREACH: a floor missed or a cap passed; meeting the threshold is no breach."""
+    a, th, floor = F.col("l_extendedprice"), F.col("p_retailprice") * 50, F.col("p_size") % 2 == 0
+    rows = t.base("lineitem").join(t.base("part"), F.col("l_partkey") == F.col("p_partkey")).filter(F.when(floor, a < th).otherwise(a > th))
+    return rows.select(
+        F.lit("COVENANT_BREACH").alias("signal_type"), F.col("l_orderkey").alias("k"), F.col("l_linenumber").alias("line"), F.col("l_suppkey").alias("entity_id"),
+        F.when(floor, "FLOOR").otherwise("CAP").alias("covenant"), F.lit("HIGH").alias("severity"),
+    )
+
+
 RELATED = """tr AS (SELECT payer_id, event_time, sum(amount) AS amount, sum(CASE WHEN related_party THEN amount ELSE 0 END) AS related FROM b_transfer GROUP BY ALL),
 rr AS (SELECT payer_id, event_time, sum(related) OVER a AS r30, sum(amount) OVER a AS a30, sum(related) OVER b AS r90 FROM tr WINDOW a AS (PARTITION BY payer_id ORDER BY event_time RANGE BETWEEN INTERVAL 30 DAY PRECEDING AND CURRENT ROW), b AS (PARTITION BY payer_id ORDER BY event_time RANGE BETWEEN INTERVAL 90 DAY PRECEDING AND CURRENT ROW))"""
 

@@ -104,7 +104,7 @@ FROM orders""",
     # Corporate events: one line is one event, the part number selects its kind.
     "b_corporate_event": """
 SELECT concat_ws('-', l_orderkey, l_linenumber, l_partkey, l_suppkey, CAST(l_shipdate AS DATE)) AS event_id,
-       l_suppkey AS counterparty_id, l_shipdate AS event_time, CAST(l_partkey % 48 AS INT) AS kind_no,
+       l_suppkey AS counterparty_id, l_shipdate AS event_time, CAST(l_partkey % 55 AS INT) AS kind_no,
        l_orderkey % 9 AS party_no, CAST(l_extendedprice AS DECIMAL(20,2)) AS amount
 FROM lineitem""",
     "b_market_quote": """
