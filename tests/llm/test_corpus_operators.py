@@ -310,3 +310,20 @@ def test_pipeline_of_an_empty_table(spark, tmp_path):
 
     docs(spark, []).write.parquet(str(tmp_path / "documents.parquet"))
     assert corpus_pipeline.run(spark, str(tmp_path)).count() == 0
+
+
+def test_join_across_groups_of_several_classes(spark):
+    """Two groups of equal prefixes whose hubs are not linked, but two other members are."""
+    rng = random.Random(31)
+    rows = []
+    for f in range(12):
+        base = prose(rng, 70, 10**6).split()
+        for _ in range(25):
+            w = list(base)
+            at = rng.randrange(len(w) - 12)
+            for k in range(rng.randrange(1, 4)):
+                w[at + 4 * k] = f"y{rng.randrange(3)}"
+            rows.append(" ".join(w))
+    rows = list(enumerate(rows))
+    got = ngram_join.join(docs(spark, [(i, t, None, None, None) for i, t in rows])).collect()
+    assert {r.doc_id: r.component_id for r in got} == near_components(rows)
