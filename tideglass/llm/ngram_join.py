@@ -334,10 +334,13 @@ def join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width:
     done = written(_once(stars), "join-stars")
     links = written(verified(done, classes, docs, id_col, text_col, width, percent), "join-links")
     members = shared.filter("NOT pair").select("shingle", F.col("a").alias("gid"), "n", "place")
+    # Classes that open shingles or groups of several classes can still bring into a pair; the others are done.
+    touched = members.select("gid").distinct().withColumn("open", F.lit(True))
+    active = written(classes.join(touched, "gid", "left").filter("many OR open").select(classes.columns), "join-active")
     before, last = float("inf"), False
     used = done.select(F.col("a").alias("cid")).limit(0)
     while not last:
-        labelled = written(_ranked(_labels(classes, links, BETWEEN_STEPS), links, used), "join-labels")
+        labelled = written(_ranked(_labels(active, links, BETWEEN_STEPS), links, used), "join-labels")
         runs = written(_mixed_runs(members, labelled), "join-runs")
         rows, open_ = _size(runs)
         last = open_ <= OPEN_A_ROW * rows or open_ > before * 0.95
