@@ -2,7 +2,7 @@
 
 Each stage takes all that the one before it kept; its rows are written as Parquet and read again as the next one's documents.
 Quality rules and language ID drop the documents they reject, the n-gram join keeps one document of each group of linked
-ones, mixing writes all documents in the order of the target weights, and packing cuts and places their tokens.
+ones (five words, Jaccard 0.8), mixing writes all documents in the order of the target weights, and packing cuts and places their tokens.
 
 Empty tables pass through; null ids and texts are judged as each operator says (a null text is too short and goes at once).
 """
@@ -27,8 +27,8 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near duplicates."""
-    return ngram_join.keep_one(docs)
+    """One document of each group of near duplicates; the stage links at five words and 0.8, whatever the operator's defaults."""
+    return ngram_join.keep_one(docs, width=5, percent=80)
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

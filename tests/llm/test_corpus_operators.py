@@ -305,6 +305,27 @@ def test_pipeline_stages(spark, tmp_path):
     assert check_packing(got, 2048) == -(-sum(r.length for r in got) // 2048)
 
 
+def test_pipeline_links_at_five_words_and_four_fifths(spark):
+    import corpus_pipeline
+
+    rng = random.Random(41)
+    rows = []
+    for _ in range(30):
+        base = prose(rng, 100, 10**6).split()
+        rows.append(" ".join(base))
+        for edits in (1, 2, 3):
+            w = list(base)
+            for k in range(edits):
+                w[10 + 25 * k] = f"y{rng.randrange(10**6)}"
+            w = w[: rng.randrange(94, 101)]
+            rows.append(" ".join(w))
+    rows = list(enumerate(rows))
+    roots = near_components(rows, 5, 80)
+    assert roots != near_components(rows) and len(set(roots.values())) > 30
+    kept = corpus_pipeline.one_of_each(spark, docs(spark, [(i, t, None, None, None) for i, t in rows]), "").collect()
+    assert sorted(r.doc_id for r in kept) == sorted(set(roots.values()))
+
+
 def test_pipeline_of_an_empty_table(spark, tmp_path):
     import corpus_pipeline
 
