@@ -2,7 +2,8 @@
 
 Each stage takes all that the one before it kept; its rows are written as Parquet and read again as the next one's documents.
 Quality rules and language ID drop the documents they reject, the n-gram join keeps one document of each group of linked
-ones (five words, Jaccard 0.8), mixing writes all documents in the order of the target weights, and packing cuts and places their tokens.
+ones (five words, Jaccard 0.8), mixing writes all documents in the order of the target weights, and packing cuts and
+places their tokens in successive windows of that order.
 
 Empty tables pass through; null ids and texts are judged as each operator says (a null text is too short and goes at once).
 """
@@ -37,8 +38,8 @@ def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The documents' pieces with their sequence and offset."""
-    return packing.pack(docs, VOCABULARY, SEQUENCE)
+    """The documents' pieces with their sequence and offset, packed window by window in the order of the files that ``mix`` wrote."""
+    return packing.pack(mixing.as_written(docs, "_place"), VOCABULARY, SEQUENCE, order_col="_place")
 
 
 STAGES = [

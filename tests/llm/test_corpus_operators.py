@@ -326,6 +326,37 @@ def test_pipeline_links_at_five_words_and_four_fifths(spark):
     assert sorted(r.doc_id for r in kept) == sorted(set(roots.values()))
 
 
+def test_packing_follows_the_mixed_order(spark, tmp_path, monkeypatch):
+    import corpus_pipeline
+
+    monkeypatch.setattr(packing, "LEAST_WINDOW", 40)
+    rng = random.Random(51)
+    rows = [(i, prose(rng, rng.randrange(100, 400)), "en", "src0" if i % 4 else "src1", 0) for i in range(200)]
+    table, got = docs(spark, rows), []
+    for n, weights in enumerate(({"src0": 1, "src1": 1}, {"src0": 9, "src1": 1})):
+        monkeypatch.setattr(corpus_pipeline, "WEIGHTS", weights)
+        corpus_pipeline.mix(spark, table, "").write.option("maxRecordsPerFile", 17).parquet(path := f"{tmp_path}/{n}")
+        place = {r.doc_id: r.position for r in mixing.positions(table, weights, corpus_pipeline.REST_WEIGHT).collect()}
+        mixed = spark.read.parquet(path)
+        assert {r.doc_id: r.at for r in mixing.as_written(mixed, "at").collect()} == place
+        packed = corpus_pipeline.sequences(spark, mixed, "").collect()
+        check_packing(packed, 2048)
+        assert sorted({r.doc_id for r in packed}) == list(range(200))
+        held = defaultdict(set)
+        for r in packed:
+            held[place[r.doc_id] // 40].add(r.sequence_id)
+        at = 0
+        for w in range(5):  # each window fills the sequences after those of the one before, as tightly as by itself
+            assert held[w] == set(range(at, at + len(held[w])))
+            at += len(held[w])
+            tokens = sum(r.length for r in packed if place[r.doc_id] // 40 == w)
+            assert len(held[w]) <= -(-tokens // 2048) + 1
+        got.append({(r.doc_id, r.piece): (r.sequence_id, r.offset) for r in packed})
+        share = Counter("src0" if d % 4 else "src1" for d in place if place[d] < 40)
+        assert share["src0"] == [20, 36][n]
+    assert got[0] != got[1]
+
+
 def test_pipeline_of_an_empty_table(spark, tmp_path):
     import corpus_pipeline
 

@@ -14,7 +14,7 @@ Documents find their slot by their place within the stream, with one join on (st
 
 Null ids come first in their stream, equal ids in any order. An empty table gives an empty result. A weight of a source that does
 not occur is left out. Result columns are (id, stream, block, slot, position); other columns are not read by ``positions``
-and pass ``mixed`` untouched.
+and pass ``mixed`` untouched. ``as_written`` finds the order again in the files that ``mixed`` wrote.
 """
 
 from __future__ import annotations
@@ -120,3 +120,22 @@ def mixed(docs: DataFrame, weights: dict[str, int], rest_weight: int = 1, id_col
     at = spread.select(F.col(id_col).alias("_other"), F.col("_at"))
     joined = rows.join(at, F.col("_id").eqNullSafe(F.col("_other")))
     return joined.repartitionByRange(partitions(docs), "_at").sortWithinPartitions("_at").select("_row.*")
+
+
+def as_written(docs: DataFrame, name: str) -> DataFrame:
+    """Adds as ``name`` the place from 0 of each row in the Parquet files read: files by their task's number, rows as they lie.
+
+    For files written from ``mixed`` this is the mixed order, however the files are split or dealt out when read. The driver
+    holds one count a file.
+    """
+    about = docs.metadataColumn("_metadata")
+    lines = docs.select("*", about["file_path"].alias(f"{name}_file"), about["row_index"].alias(f"{name}_line"))
+    file, line = F.col(f"{name}_file"), F.col(f"{name}_line")
+    found = lines.groupBy(file).agg(F.max(line).alias("last")).select(file, "last", F.regexp_extract(file, r"/part-(\d+)-[^/]*$", 1).alias("task")).collect()
+    starts, at = [], 0
+    for path, last, _ in sorted(found, key=lambda r: (int(r[2] or 0), r[0])):
+        starts.append((path, at))
+        at += last + 1
+    first = docs.sparkSession.createDataFrame(starts, f"{name}_file string, {name}_first bigint")
+    placed = lines.join(F.broadcast(first), f"{name}_file").withColumn(name, F.col(f"{name}_first") + line)
+    return placed.drop(f"{name}_file", f"{name}_line", f"{name}_first")

@@ -10,6 +10,12 @@ would do. The driver sees at most ``size`` counts and returns runs (length, firs
 a length or uses up a run of sequences, so their number depends on ``size``, not on the number of documents. A
 piece finds its sequence by its rank among the pieces of its length, which is counted over all partitions.
 
+With an ``order_col`` of distinct places from 0 the order decides what stands together: documents are cut into windows of
+successive places, each window is packed by itself and its sequences follow those of the windows before, and pieces of one length
+are ranked by place. So every window's sequences hold the documents that the order gave it, and at most about one sequence a window is
+not full. A window has ``LEAST_WINDOW`` documents, or more if the corpus would have over ``WINDOWS`` windows; so the driver sees at most
+``WINDOWS`` x ``size`` counts.
+
 Null and empty texts are the end id alone. Null and repeated ids keep their own pieces; equal rows may take each other's
 places. An empty table gives an empty result. Only the id and the text are read. Long texts are handled whole.
 """
@@ -28,6 +34,8 @@ from tideglass.llm.bpe import tokenizer
 from tideglass.llm.common import numbered, slices, written
 
 END_ID = 0
+#: Documents of a window at least, and windows at most, where an order is given.
+LEAST_WINDOW, WINDOWS = 4096, 64
 
 
 class RoomTree:
@@ -100,8 +108,8 @@ def best_fit(counts: dict[int, int], size: int) -> list[tuple[int, int, int, int
     return out
 
 
-def pieces(docs: DataFrame, vocabulary: str, size: int, id_col: str = "doc_id", text_col: str = "text", with_ids: bool = False) -> DataFrame:
-    """(id, piece, start, length, ids_crc32[, ids]): every document's pieces; ``ids`` are little-endian 32-bit numbers."""
+def pieces(docs: DataFrame, vocabulary: str, size: int, id_col: str = "doc_id", text_col: str = "text", with_ids: bool = False, order_col: str | None = None) -> DataFrame:
+    """(id, piece, start, length, ids_crc32[, ids][, place]): every document's pieces; ``ids`` are little-endian 32-bit numbers."""
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = tokenizer(vocabulary)
@@ -126,21 +134,35 @@ def pieces(docs: DataFrame, vocabulary: str, size: int, id_col: str = "doc_id",
                 names = ["id", "piece", "start", "length", "ids_crc32"]
                 if with_ids:
                     columns, names = [*columns, pa.array(ids, pa.binary())], [*names, "ids"]
+                if order_col:
+                    columns, names = [*columns, part.column(2).take(pa.array(rows, pa.int64()))], [*names, "place"]
                 yield pa.RecordBatch.from_arrays(columns, names=names)
 
     kind = docs.schema[id_col].dataType.simpleString()
-    rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
-    return rows.mapInArrow(cut, f"id {kind}, piece int, start bigint, length bigint, ids_crc32 bigint" + (", ids binary" if with_ids else ""))
+    rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), *([F.col(order_col).cast("bigint").alias("place")] if order_col else []))
+    return rows.mapInArrow(cut, f"id {kind}, piece int, start bigint, length bigint, ids_crc32 bigint" + (", ids binary" if with_ids else "") + (", place bigint" if order_col else ""))
 
 
-def pack(docs: DataFrame, vocabulary: str, size: int, id_col: str = "doc_id", text_col: str = "text", with_ids: bool = False) -> DataFrame:
+def pack(docs: DataFrame, vocabulary: str, size: int, id_col: str = "doc_id", text_col: str = "text", with_ids: bool = False, order_col: str | None = None) -> DataFrame:
     """The pieces with their sequence_id and offset. Texts are tokenized once; the pieces are written, then counted and placed."""
-    cut = written(pieces(docs, vocabulary, size, id_col, text_col, with_ids), "pieces")
-    counts = {r["length"]: r["n"] for r in cut.groupBy("length").agg(F.count(F.lit(1)).alias("n")).collect()}
-    plan = docs.sparkSession.createDataFrame(best_fit(counts, size), "length bigint, rank0 bigint, n bigint, m bigint, sequence0 bigint, offset0 bigint")
-    ranked = numbered(cut, ["length"], ["id", "piece"])
-    # The plan's rows are bounded by the sequence length.
-    placed = ranked.join(F.broadcast(plan), "length").filter("rank >= rank0 AND rank < rank0 + n")
+    cut = written(pieces(docs, vocabulary, size, id_col, text_col, with_ids, order_col), "pieces")
+    keys, order = ["length"], ["id", "piece"]
+    if order_col:
+        n = (cut.agg(F.max("place")).first()[0] or 0) + 1
+        cut = cut.withColumn("window", F.expr(f"place DIV {max(LEAST_WINDOW, -(-n // WINDOWS))}"))
+        keys, order = ["window", "length"], ["place", "piece"]
+    counts: dict[int, dict[int, int]] = {}
+    for r in cut.groupBy(*keys).agg(F.count(F.lit(1)).alias("n")).collect():
+        counts.setdefault(r["window"] if order_col else 0, {})[r["length"]] = r["n"]
+    rows, opened = [], 0
+    for window in sorted(counts):
+        runs = best_fit(counts[window], size)
+        rows += [(window, length, rank, n, m, opened + first, offset) for length, rank, n, m, first, offset in runs]
+        opened += max(first + -(-n // m) for _, _, n, m, first, _ in runs)
+    plan = docs.sparkSession.createDataFrame(rows, "window bigint, length bigint, rank0 bigint, n bigint, m bigint, sequence0 bigint, offset0 bigint")
+    ranked = numbered(cut, keys, order)
+    # The plan's rows are bounded by the sequence length, times the windows.
+    placed = ranked.join(F.broadcast(plan if order_col else plan.drop("window")), keys).filter("rank >= rank0 AND rank < rank0 + n")
     return placed.select(
         F.col("id").alias(id_col), "piece", "start", "length", "ids_crc32", *(["ids"] if with_ids else []),
         F.expr("sequence0 + ((rank - rank0) DIV m)").alias("sequence_id"), F.expr("offset0 + ((rank - rank0) % m) * length").alias("offset"),
