@@ -197,6 +197,25 @@ def test_page_text():
     assert text == "A title\nFirst & line. goes on\nSh.\npoint one\npoint two with a link\nCafé – <tag>."
 
 
+def test_classes_of_the_page_and_of_wrappers_do_not_count_against_the_article():
+    long = " ".join(f"word{i}" for i in range(60)) + "."
+    text = lambda page: "\n".join(t for t, content in html_extract.labelled(page) if content)
+    for body in ('class="no-sidebar"', 'class="has-cookie-banner"', 'class="page sidebar"', 'class="menu-open"', "id='x'"):
+        assert text(f"<body {body}><article><p>{long}</p></article></body>") == long, body
+        assert text(f"<body {body}><div><p>{long}</p></div></body>") == long, body
+    for wrapper in ('id="content-with-menu"', 'class="sidebar-right-page"', 'class="modal"'):
+        for name in ("article", "main"):
+            assert text(f"<div {wrapper}><div><{name}><p>{long}</p></{name}></div></div>") == long, wrapper
+    for against in ('id="sidebar"', 'class="main-menu"', 'class="cookie-banner"', 'class="comments"'):
+        assert text(f"<article><p>{long}</p><div {against}><p>{long}</p></div></article>") == long, against
+    assert text(f'<div class="comments"><article><p>{long}</p></article></div>') == ""
+
+
+def test_formulas_and_fallbacks_are_text():
+    page = '<article><p>So <math><mi>x</mi><mo>=</mo><mn>1</mn><annotation encoding="t">x=1</annotation></math> holds for all of them.</p><p><object data="a"><param name="b">A map of the town and its river.</object></p></article><object>No player</object>'
+    assert [t for t, content in html_extract.labelled(page) if content] == ["So x=1 holds for all of them.", "A map of the town and its river."]
+
+
 def test_pages(spark):
     long = "<article>" + "".join(f"<p>line {i} &amp; more.</p>" for i in range(3000)) + "</article>"
     rows = [(1, "u", PAGE), (2, None, None), (2, None, ""), (None, "v", "plain text only, without any tag at all."), (4, "w", long), (5, "x", "<p <a <b"), (6, "y", "<nav><p>unclosed"), (7, "z", "<script>never ends")]

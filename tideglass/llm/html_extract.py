@@ -6,7 +6,7 @@ text, length and punctuation. The labelling minimises the sum of what the classi
 terminals) and of smoothness (edges between neighbours in page order and in the tree, stronger the nearer they are in the
 tree, cut when their labels differ). Max-flow finds the minimum; blocks on the source's side are content.
 
-Scripts, styles, comments and other raw elements hold no text. Character references are decoded, white space inside a block
+Scripts, styles, comments and other raw elements hold no text; formulas do, and so does the fallback of an object in an article. Character references are decoded, white space inside a block
 becomes one space, and content blocks are joined by line ends in page order. A null or empty page has an empty text. Every page is
 labelled by itself, so repeated rows, null keys and empty tables need no care; other columns pass through. Long pages are
 handled whole, with edges in proportion to their blocks.
@@ -29,7 +29,7 @@ _ATTRIBUTE = re.compile(r"""([\w:-]+)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))"
 _WORD = re.compile(r"[A-Z]?[a-z]+|[A-Z]+|\d+")
 
 #: Elements by their role (names fixed by HTML).
-RAW = frozenset("script style noscript template textarea title iframe xmp noembed noframes svg math object select option datalist canvas audio video".split())
+RAW = frozenset("script style noscript template textarea title iframe xmp noembed noframes svg annotation annotation-xml object select option datalist canvas audio video".split())
 BLOCK = frozenset(
     "address article aside blockquote body caption center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr html legend li main menu nav ol p pre section summary table tbody td tfoot th thead tr ul".split()
 )
@@ -41,6 +41,10 @@ HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 AGAINST = frozenset(
     "ad ads adv advert adverts advertisement advertising banner sponsor sponsored promo promotion cookie cookies consent gdpr notice popup modal overlay newsletter subscribe subscription signup share sharing social related recommended recommendations sidebar menu nav navbar navigation breadcrumb breadcrumbs footer comment comments reply replies disqus discussion pagination pager widget login search toolbar skip copyright legal disclaimer complementary contentinfo alert dialog".split()
 )
+#: Such words do not pass an only article by; a main element clears all wrappers.
+REMARKS = frozenset("comment comments reply replies disqus discussion related recommended recommendations".split())
+#: In a name like no-sidebar or content-with-menu what follows the first kind is a state of the page, in menu-open what precedes the second.
+STATE_OF, STATE = frozenset("no not has have with without show hide is".split()), frozenset("layout open opened closed enabled disabled".split())
 HEAD_WORDS = frozenset("header masthead topbar banner".split())
 FOR = frozenset("article content post entry story main body text".split())
 #: Weights of the classifier and the smoothness, in log-odds.
@@ -51,8 +55,15 @@ ADJACENT, PROXIMITY = 0.5, 1.0
 SCALE = 1000
 
 
+def _roles(name: str) -> list[str]:
+    """The words of one class, id or role that tell what its element is, not what state the page is in."""
+    words = [w.lower() for w in _WORD.findall(name)]
+    words = words[: next((i for i, w in enumerate(words) if w in STATE_OF), len(words))]
+    return words[max((i + 1 for i, w in enumerate(words) if w in STATE), default=0) :]
+
+
 class _Element:
-    __slots__ = ("name", "parent", "depth", "article", "away", "against", "head", "good", "hidden")
+    __slots__ = ("name", "parent", "depth", "words", "wraps", "article", "away", "against", "head", "good", "hidden")
 
     def __init__(self, name: str, parent: _Element | None, attributes: str):
         self.name, self.parent = name, parent
@@ -60,18 +71,35 @@ class _Element:
         words, hidden = frozenset(), False
         if attributes and "=" in attributes:
             found = {k.lower(): html.unescape(a or b or c) for k, a, b, c in _ATTRIBUTE.findall(attributes)}
-            words = frozenset(w.lower() for k in ("class", "id", "role") if k in found for w in _WORD.findall(found[k]))
+            words = frozenset(w for k in ("class", "id", "role") if k in found for one in found[k].split() for w in _roles(one))
             hidden = "display:none" in found.get("style", "").replace(" ", "").lower() or found.get("aria-hidden", "").lower() == "true"
         if attributes and re.search(r"(?:^|\s)hidden(?:\s|/|$)", attributes):
             hidden = True
-        top = parent is None
+        # The classes of the whole page are no statement about its parts.
+        self.words, self.hidden, self.wraps = words, hidden, name in ("html", "body")
+
+    def settle(self) -> None:
+        """What the element inherits, once it is known which elements wrap the page's article."""
+        top, parent, name, words = self.parent is None, self.parent, self.name, self.words
         self.away = (not top and parent.away) or name in AWAY
-        self.against = (not top and parent.against) or bool(words & AGAINST)
+        self.against = (not top and parent.against) or (not self.wraps and bool(words & AGAINST))
         # An advert or menu inside an article is no part of it, and a comment is none though it may be an article element.
         self.article = ((not top and parent.article) or name in ("article", "main")) and not (self.away or self.against)
-        self.head = (not top and parent.head) or (not self.article and (name == "header" or bool(words & HEAD_WORDS)))
+        self.head = (not top and parent.head) or (not self.article and (name == "header" or not self.wraps and bool(words & HEAD_WORDS)))
         self.good = (not top and parent.good) or bool(words & FOR)
-        self.hidden = (not top and parent.hidden) or hidden
+        self.hidden = (not top and parent.hidden) or self.hidden
+
+
+def _settle(elements: list[_Element]) -> None:
+    """Settles all elements, parents first; what stands around main, or around the only article, does not count against its parts."""
+    mains, articles = ([e for e in elements if e.name == n] for n in ("main", "article"))
+    for inner in mains or (articles if len(articles) == 1 else []):
+        e = inner.parent
+        while e is not None:
+            e.wraps = e.wraps or bool(mains) or not e.words & REMARKS
+            e = e.parent
+    for e in elements:
+        e.settle()
 
 
 class _Block:
@@ -84,7 +112,7 @@ class _Block:
 def blocks(page: str) -> list[_Block]:
     """The page's blocks of text in order."""
     root = _Element("html", None, "")
-    at, open_ = root, [root]
+    at, open_, elements = root, [root], [root]
     out: list[_Block] = []
     parts: list[str] = []
     linked, in_link = 0, False
@@ -113,7 +141,7 @@ def blocks(page: str) -> list[_Block]:
         if name is None:
             continue
         name = name.lower()
-        if name in RAW:
+        if name in RAW and not (name == "object" and any(e.name in ("article", "main") for e in open_)):
             if not closing and not attributes.endswith("/"):
                 shut = re.compile(rf"</{re.escape(name)}\b[^>]*>", re.I).search(page, place)
                 place = shut.end() if shut else len(page)
@@ -134,8 +162,10 @@ def blocks(page: str) -> list[_Block]:
                     open_.pop()
                 if name not in VOID and not (name == "html" and len(open_) == 1 and not attributes):
                     open_.append(_Element(name, open_[-1], attributes))
+                    elements.append(open_[-1])
             at = open_[-1]
     end()
+    _settle(elements)
     return out
 
 
