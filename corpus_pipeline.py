@@ -33,8 +33,8 @@ def one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All documents in mixed order: the files follow the schedule, row by row."""
-    return mixing.mixed(docs, WEIGHTS, REST_WEIGHT)
+    """All documents in mixed order: the files follow the schedule, row by row. Sources without a weight have streams of their own."""
+    return mixing.mixed(docs, mixing.with_unlisted(docs, WEIGHTS, REST_WEIGHT), REST_WEIGHT)
 
 
 def sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -144,6 +144,16 @@ def test_mixing_uses_every_document_once(spark, block):
         assert [r.doc_id for r in got if r.stream == s] == sorted(r.doc_id for r in got if r.stream == s)
 
 
+def test_unlisted_sources_have_streams_of_their_own(spark, monkeypatch):
+    rows = [(i, "t", None, ["new0", "new1", None][i * 3 // 150], None) for i in range(150)]
+    table = docs(spark, rows)
+    assert mixing.with_unlisted(table, {"src0": 20}, 4) == {"src0": 20, "new0": 4, "new1": 4}
+    got = mixing.positions(table, mixing.with_unlisted(table, {"src0": 20}, 4), 4).collect()
+    assert Counter(r.stream for r in got if r.position < 30) == {"new0": 10, "new1": 10, mixing.REST: 10}
+    monkeypatch.setattr(mixing, "MOST_SLOTS", 90)  # 3 streams of 28 together
+    assert mixing.with_unlisted(table, {"src0": 20}, 4) == {"src0": 20, "new0": 4}
+
+
 def test_mixed_rows_and_odd_tables(spark):
     rows = [(i, "t", None, "ab"[i % 2], None) for i in range(40)]
     table = clashing(docs(spark, rows))

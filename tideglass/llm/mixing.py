@@ -80,6 +80,20 @@ def plan(blocks: dict[str, int], weights: dict[str, int]) -> list[tuple[str, int
     return rows
 
 
+def with_unlisted(docs: DataFrame, weights: dict[str, int], rest_weight: int = 1, source_col: str = "source") -> dict[str, int]:
+    """The weights and, at ``rest_weight``, a stream of its own for each other source of the table.
+
+    The largest go first until ``MOST_SLOTS`` is reached; what is left, and rows without a source, share the rest's stream.
+    """
+    streams, total, most = len(weights) + 1, sum(weights.values()) + rest_weight, 0
+    while (streams + most + 1) * (total + (most + 1) * rest_weight) <= MOST_SLOTS:
+        most += 1
+    source = F.col(source_col)
+    others = docs.filter(source.isNotNull() & ~source.isin([*weights, REST])).groupBy(source.alias("source")).agg(F.count(F.lit(1)).alias("n"))
+    found = others.orderBy(F.col("n").desc(), "source").limit(most).collect()
+    return {**weights, **{r.source: rest_weight for r in found}}
+
+
 def positions(
     docs: DataFrame, weights: dict[str, int], rest_weight: int = 1, id_col: str = "doc_id", source_col: str = "source", block_docs: int = 1
 ) -> DataFrame:
