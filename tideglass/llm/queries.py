@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from tideglass.llm import fingerprints, html_extract, language_id, license_scan, mixing, ngram_join, packing, quality_rules, sharding, source_divergence, token_counts
+from tideglass.llm import filter_audit, fingerprints, html_extract, language_id, license_scan, mixing, ngram_join, packing, quality_rules, sharding, source_divergence, token_counts
 from tideglass.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -209,3 +209,33 @@ SELECT lang, source, part, item, CAST(value AS BIGINT) AS value, CAST(rank AS IN
 @query("op11_source_divergence", DIVERGENCE_SQL)
 def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
     return source_divergence.audit(table(spark, sf_dir, "documents"))
+
+
+FILTER_SQL = r"""
+WITH w AS (SELECT doc_id, coalesce(lang, '') AS part, coalesce(text, '') AS text, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
+k AS (SELECT doc_id, max(quality = 1) AS good, max(toxic = 1) AS toxic FROM labels GROUP BY doc_id),
+m AS (
+  SELECT part, coalesce(good, false) AS good, coalesce(toxic, false) AS toxic,
+    [len(w) < 100, 100 * len(list_distinct(w)) < 80 * len(w), 100 * length(regexp_replace(text, '[^A-Z]', '', 'g')) > 10 * length(text), regexp_matches(text, '[#$%&*|]'),
+     coalesce(min(doc_id) OVER (PARTITION BY text) < doc_id, false)] AS fails
+  FROM w LEFT JOIN k USING (doc_id)
+), h AS (SELECT part, fails, count(*) AS n, count_if(good) AS good, count_if(toxic) AS toxic FROM m GROUP BY ALL),
+f(i) AS (VALUES (1), (2), (3), (4), (5)),
+o AS (SELECT [a.i, b.i, c.i, d.i, e.i] AS ord FROM f a, f b, f c, f d, f e WHERE len(list_distinct([a.i, b.i, c.i, d.i, e.i])) = 5),
+s AS (SELECT ord, s.i AS step, ord[s.i] AS mine, ord[: s.i - 1] AS before FROM o, f s),
+x AS (SELECT h.*, s.*, len(list_filter(before, lambda i: fails[i])) > 0 AS gone, fails[mine] AS fail, len(list_filter(fails, lambda b: b)) = 1 AS single FROM h, s),
+r AS (
+  SELECT part, ord, step, mine, coalesce(sum(n) FILTER (NOT gone AND NOT fail), 0) AS kept, coalesce(sum(n) FILTER (NOT gone AND fail), 0) AS removed, coalesce(sum(n) FILTER (gone AND fail), 0) AS redundant,
+    coalesce(sum(n) FILTER (fail AND single), 0) AS unique_fails, coalesce(sum(good) FILTER (NOT gone AND fail), 0) AS good_lost, coalesce(sum(toxic) FILTER (NOT gone AND fail), 0) AS toxic_lost
+  FROM x GROUP BY part, ord, step, mine
+)
+SELECT part, array_to_string(list_transform(ord, lambda i: substr('ABCDE', i, 1)), '') AS filter_order, CAST(step AS INTEGER) AS step, CAST(kept AS BIGINT) AS kept, CAST(removed AS BIGINT) AS removed,
+  CAST(redundant AS BIGINT) AS redundant, CAST(unique_fails AS BIGINT) AS unique_fails, CAST(good_lost AS BIGINT) AS good_lost, CAST(toxic_lost AS BIGINT) AS toxic_lost,
+  CAST(sum(removed) OVER (PARTITION BY part, mine) AS BIGINT) AS shapley
+FROM r
+"""
+
+
+@query("op12_filter_interaction", FILTER_SQL)
+def op12(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return filter_audit.audit(spark, f"{sf_dir.rstrip('/')}/documents.parquet", table(spark, sf_dir, "labels"))

@@ -214,7 +214,7 @@ def _pair_sums(rows: pd.DataFrame) -> pd.DataFrame:
             b.append(sources[others])
             value.append(np.abs(matrix[others, : len(names)] - matrix[i, : len(names)]).sum(axis=1))
     if not a:
-        return pd.DataFrame({"lang": [], "a": [], "b": [], "value": [], "terms": []}).astype({"value": "int64", "terms": "int64"})
+        return pd.DataFrame({"lang": [], "a": [], "b": [], "value": [], "terms": []}).astype({"lang": object, "a": object, "b": object, "value": "int64", "terms": "int64"})
     return pd.DataFrame({"lang": lang, "a": np.concatenate(a), "b": np.concatenate(b), "value": np.concatenate(value).astype(np.int64), "terms": len(names)})
 
 
