@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from tideglass.llm import filter_audit, fingerprints, html_extract, language_id, license_scan, mixing, ngram_join, packing, quality_rules, sharding, source_divergence, token_counts
+from tideglass.llm import filter_audit, fingerprints, html_extract, language_id, license_scan, mixing, ngram_join, packing, quality_rules, sharding, source_divergence, token_counts, warc
 from tideglass.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -239,3 +239,17 @@ FROM r
 @query("op12_filter_interaction", FILTER_SQL)
 def op12(spark: SparkSession, sf_dir: str) -> DataFrame:
     return filter_audit.audit(spark, f"{sf_dir.rstrip('/')}/documents.parquet", table(spark, sf_dir, "labels"))
+
+
+WARC_SQL = f"""
+WITH p AS (SELECT page_id, coalesce(html, '') AS html FROM pages),
+t AS (SELECT page_id, CAST(strlen(html) AS BIGINT) AS payload_bytes, sha1(html) AS payload_digest, CASE WHEN strlen(html) >= {warc.LEAST_REVISIT} THEN max(page_id) OVER (PARTITION BY html) END AS top FROM p)
+SELECT page_id, payload_bytes, payload_digest, CASE WHEN page_id < top OR (page_id IS NULL AND top IS NOT NULL) THEN 'revisit' ELSE 'response' END AS record_type,
+  CASE WHEN page_id < top OR (page_id IS NULL AND top IS NOT NULL) THEN top END AS refers_to
+FROM t
+"""
+
+
+@query("op13_warc", WARC_SQL)
+def op13(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.round_trip(table(spark, sf_dir, "pages"))
