@@ -241,7 +241,7 @@ def write(pages: DataFrame, date: str = "2000-01-01T00:00:00Z", roll: int = ROLL
             for row in range(len(batch)):
                 if stream is None:
                     name, n = f"{uuid.uuid4().hex}.warc.zst", 0
-                    stream = where.open_output_stream(f"{root}/{name}")
+                    stream = where.open_output_stream(f"{root}/{name}", compression=None)
                     stream.write(struct.pack("<II", SKIPPABLE, len(held)) + held)
                 page_id, url, html, refers_to = (batch.column(c)[row].as_py() for c in ("page_id", "url", "html", "refers_to"))
                 stream.write(encoder.compress(record(page_id, url, html.encode(), refers_to, date)))
@@ -267,7 +267,7 @@ def read(archives: DataFrame, payloads: bool = True) -> DataFrame:
             for path, wanted in zip(batch.column("path").to_pylist(), batch.column("records").to_pylist()):
                 where, name = fs.FileSystem.from_uri(path)
                 rows, held, n = [], 0, 0
-                with where.open_input_stream(name) as stream:
+                with where.open_input_stream(name, compression=None) as stream:
                     try:
                         for at, data in frames(stream):
                             try:
