@@ -74,6 +74,21 @@ def test_smaller_ids_arrive_late(spark, tmp_path, batches):
     assert audited(spark, tmp_path / "docs", labels, batches) == plain(rows, labels)
 
 
+def test_many_buckets(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(fa, "TEXTS", 3)
+    rows, labels = corpus(120, 8)
+    docs(spark, rows).repartition(6).write.parquet(str(tmp_path / "docs"))
+    assert audited(spark, tmp_path / "docs", labels, 3) == plain(rows, labels)
+
+
+def test_ids_of_64_bits_beside_null_ids(spark, tmp_path):
+    big = 2**62
+    rows = [(big + i, "same", "en", "s", 4) for i in (2, 1, 0)] + [(None, "other", "en", "s", 4), (None, "same", "en", "s", 4), (-5, "neg", "en", "s", 4), (-6, "neg", "en", "s", 4)]
+    docs(spark, rows).coalesce(1).write.parquet(str(tmp_path / "docs"))
+    labels = [(big, 1, 1), (big + 1, 0, 1), (-6, 1, 0)]
+    assert audited(spark, tmp_path / "docs", labels) == plain(rows, labels)
+
+
 def test_hot_text_repeated_rows_and_nulls(spark, tmp_path):
     rng = random.Random(9)
     rows = [(rng.randrange(50), "hot text", rng.choice(["en", "de"]), None, None) for _ in range(200)] + ODD + [(3, LONG, "fr", None, None), (None, LONG, "en", None, None), (2, LONG, "en", None, None)]
@@ -97,9 +112,6 @@ def test_long_texts_are_cut_between_words(monkeypatch):
     assert SCHEMA.startswith("doc_id")
 
 
-def test_the_callers_settings_stay(spark, tmp_path):
-    name = "spark.sql.streaming.stateStore.providerClass"
-    before = spark.conf.get(name, None)
-    docs(spark, [(1, "a", "en", "s", 1)]).write.parquet(str(tmp_path / "docs"))
-    audited(spark, tmp_path / "docs", [])
-    assert spark.conf.get(name, None) == before
+def test_state_of_a_bucket_reads_back():
+    texts = {bytes([i]) * 16: (i, {("en", True, False): 1, ("", False, False): i + 1}) for i in range(1, 20)}
+    assert fa._loaded(fa._stored(texts)) == texts
