@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from tideglass.operators.ordered import rolling
+from tideglass.operators.ordered import asof, rolling
 from tideglass.session import new_path
 from tideglass.sources import sinks
 
@@ -123,8 +123,58 @@ def route_late(stream: DataFrame, late_class: Column, name: str) -> dict[str, st
     return {"live": live, "late": late}
 
 
+class Runs:
+    """Runs of one job over a history, each with a checkpoint and results of its own.
+
+    ``LIVE`` is the official lineage. ``RECOVERY`` goes on with its checkpoint and its results after a failure: a batch that was written
+    but not committed is written again under its number. All other modes (``REBUILD``, ``BACKFILL``, ``COUNTERFACTUAL``, ``AS_CORRECTED``)
+    need a run id that was not used before, start from nothing and write below their own (mode, run), so no run can touch the official results.
+    """
+
+    OWN = ("REBUILD", "BACKFILL", "COUNTERFACTUAL", "AS_CORRECTED")
+
+    def __init__(self, spark: SparkSession, name: str):
+        self.spark, self.root, self.used = spark, new_path(spark, name), set()
+
+    def run(self, stream: DataFrame, job: Callable[[DataFrame], DataFrame], mode: str, run_id: str, fail_at: int | None = None) -> None:
+        """Drains the stream through the job. ``fail_at`` breaks off in that batch, after its results are written and before they are committed."""
+        if mode in ("LIVE", "RECOVERY"):
+            lineage = "LIVE"
+            if mode == "RECOVERY" and "LIVE" not in {m for m, _ in self.used}:
+                raise ValueError("there is no live run to recover")
+            run_id = "LIVE"
+        elif mode not in self.OWN:
+            raise ValueError(f"unknown mode {mode}")
+        elif not run_id.strip() or (mode, run_id) in self.used:
+            raise ValueError("processing outside LIVE needs a run id of its own")
+        else:
+            lineage = mode
+        self.used.add((lineage, run_id))
+        path = f"{self.root}/execution_mode={lineage}/run_id={run_id}"
+
+        def each(batch: DataFrame, batch_id: int) -> None:
+            sinks.write_batch(job(batch), path, batch_id)
+            if batch_id == fail_at:
+                raise RuntimeError(f"broken off in batch {batch_id}")
+
+        run_batches(stream, "run", each, f"{self.root}-checkpoints/{lineage}/{run_id}")
+
+    def results(self, mode: str, run_id: str) -> DataFrame:
+        lineage, run_id = ("LIVE", "LIVE") if mode in ("LIVE", "RECOVERY") else (mode, run_id)
+        rows = self.spark.read.parquet(f"{self.root}/execution_mode={lineage}/run_id={run_id}").drop("batch_id")
+        return rows.withColumn("execution_mode", F.lit(mode)).withColumn("run_id", F.lit(run_id))
+
+    def compared(self, run: tuple[str, str], keys: list[str], values: list[str]) -> DataFrame:
+        """Rows whose values differ between the official results and a run, missing ones included."""
+        live = self.results("LIVE", "").select(*keys, F.struct(*values).alias("live"))
+        other = self.results(*run).select(*keys, F.struct(*values).alias("other"))
+        joined = live.join(other, keys, "full").filter(~F.col("live").eqNullSafe(F.col("other")))
+        side = F.when(F.col("other").isNull(), "ONLY_LIVE").when(F.col("live").isNull(), "ONLY_RUN").otherwise("CHANGED")
+        return joined.select(*keys, side.alias("difference"), *[F.col(f"live.{v}").alias(f"live_{v}") for v in values], *[F.col(f"other.{v}").alias(f"run_{v}") for v in values])
+
+
 def replay(rows: DataFrame, job: Callable[[DataFrame], DataFrame], mode: str, run_id: str, name: str) -> str:
-    """Run a job over history into its own (mode, run) partition; a run without an id is refused."""
+    """Run a job over a whole table at once into its own (mode, run) partition; a run without an id is refused."""
     if mode != "LIVE" and not run_id.strip():
         raise ValueError("processing outside LIVE needs a run id")
     path = new_path(rows.sparkSession, name)
@@ -133,3 +183,61 @@ def replay(rows: DataFrame, job: Callable[[DataFrame], DataFrame], mode: str, ru
     return path
 
 
+#: Rows of a delivered slice that one file takes.
+FILE_ROWS = 1_000_000
+
+
+def deliveries(df: DataFrame, arrived: Column, name: str, slices: int = 4) -> tuple[str, int]:
+    """Writes a table as files in the order its rows arrive, slice after slice; returns the folder and the files of a slice.
+
+    A slice is a stretch of arrival time, so slices overlap in event time by the delays. A stream that takes one slice's files a
+    trigger sees the rows as they would have come.
+    """
+    path, rows = new_path(df.sparkSession, name), df.withColumn("_arrived", F.unix_micros(arrived.cast("timestamp")))
+    low, high, n = rows.agg(F.min("_arrived"), F.max("_arrived"), F.count(F.lit(1))).first()
+    files = max(1, -(-n // (slices * FILE_ROWS)))
+    place = F.least(F.lit(slices - 1), F.floor((F.col("_arrived") - F.lit(low)) * slices / (F.lit((high or 0) - (low or 0)) + 1)))
+    rows = rows.withColumn("_slice", F.coalesce(place, F.lit(0)))
+    for i in range(slices):
+        rows.filter(F.col("_slice") == i).drop("_arrived", "_slice").repartition(files).write.mode("append").parquet(path)
+    return path, files
+
+
+def delivered(spark: SparkSession, delivery: tuple[str, int], schema, slices: int = 1) -> DataFrame:
+    """Stream of a delivery, ``slices`` of them a trigger."""
+    return spark.readStream.schema(schema).option("maxFilesPerTrigger", delivery[1] * slices).parquet(delivery[0])
+
+
+def window_revisions(counts: DataFrame, keys: list[str], name: str) -> DataFrame:
+    """Window counts in update mode: every trigger writes the windows it changed as a revision under its number.
+
+    Returns each window's last revision, open ones too; ``final`` once the watermark has passed its end.
+    """
+    spark = counts.sparkSession
+    path, columns = new_path(spark, name), [*keys, "window_start", "window_end"]
+    spark.createDataFrame([], counts.schema).write.parquet(f"{path}/batch_id=-1")
+    query = counts.writeStream.outputMode("update").foreachBatch(lambda batch, batch_id: sinks.write_batch(batch, path, batch_id))
+    query = query.option("checkpointLocation", f"{path}-checkpoint").trigger(availableNow=True).start()
+    query.awaitTermination()
+    watermark = max((p["eventTime"].get("watermark", "") for p in query.recentProgress), default="") or "1970-01-01T00:00:00.000Z"
+    last = F.max_by("n", "batch_id").alias("n"), F.count(F.lit(1)).alias("revisions")
+    return spark.read.parquet(path).groupBy(*columns).agg(*last).withColumn("final", F.col("window_end") <= F.lit(watermark).cast("timestamp"))
+
+
+def versioned(stream: DataFrame, versions: str, keys: list[str], ts: str, since: str, values: list[str], order: list[str], job: Callable[[DataFrame], DataFrame], name: str, before: Callable[[int], None] | None = None) -> str:
+    """Rows with the version of a table that is valid at their event time, the table read anew in every trigger.
+
+    Versions published between triggers hold from the next one on; what was evaluated before keeps the version it names.
+    ``before`` runs ahead of each trigger's read. Returns the folder of the job's results.
+    """
+    spark = stream.sparkSession
+    path = new_path(spark, name)
+
+    def each(batch: DataFrame, batch_id: int) -> None:
+        if before:
+            before(batch_id)
+        known = spark.read.parquet(versions)
+        sinks.write_batch(job(asof(batch, known, keys, ts, since, values, order)), path, batch_id)
+
+    run_batches(stream, name, each)
+    return path
