@@ -7,8 +7,9 @@ a block needs from earlier blocks comes as one extra row at its start, built wit
 aggregation; so there is one shuffle and one sort of the rows, and no join on the hot key.
 
 Hot keys are those with at least ``spark.tideglass.hotRows`` rows (default one million), all of them, null keys
-like any other. They stay a table that is joined, never a list on the driver. One look decides if there
-are any; which keys are cut changes the work, never the result; where none is hot the plan is the plain window.
+like any other. They are found inside the query itself: building it starts no job. Their number is at most rows / hotRows,
+so they are broadcast, and rows that are cut move no more often than others; where none turn up, adaptive execution drops what
+only hot keys need. A plan none of whose tables can hold so many rows keeps plain windows. Which keys are cut changes the work, never the result.
 """
 
 from __future__ import annotations
@@ -28,11 +29,23 @@ def join_null_safe(left: DataFrame, right: DataFrame, keys: list[str], how: str
     return one.join(two, on, how).select(*[F.col(f"_one.{c}") for c in left.columns], *[F.col(f"_two.{c}") for c in right.columns if c not in keys])
 
 
+#: No table keeps a row in less than this many bytes, compressed; columns of one value apart.
+LEAST_ROW_BYTES = 16
+
+
+def largest_table(df: DataFrame) -> int:
+    """Bytes of the largest table that the rows come from, by the sizes of its files; no job is started."""
+    leaves = df._jdf.queryExecution().analyzed().collectLeaves()
+    return max((int(str(leaves.apply(i).stats().sizeInBytes())) for i in range(leaves.size())), default=0)
+
+
 def hot_keys(df: DataFrame, keys: list[str]) -> DataFrame | None:
-    """Keys that hold too many rows for one task; None where there are none."""
+    """Keys that hold too many rows for one task, as a part of the query; None where no table is large enough to have any."""
     floor = int(df.sparkSession.conf.get("spark.tideglass.hotRows", "1000000"))
+    if largest_table(df) < floor * LEAST_ROW_BYTES:
+        return None
     large = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n")).filter(F.col("_n") >= floor)
-    return None if large.isEmpty() else large.select(*keys, F.lit(True).alias(_HOT))
+    return F.broadcast(large.select(*keys, F.lit(True).alias(_HOT)))
 
 
 def _mark(df: DataFrame, keys: list[str], hot: DataFrame | None) -> DataFrame:
