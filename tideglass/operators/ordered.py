@@ -65,6 +65,12 @@ def _combine(fn: str, a: Column, b: Column) -> Column:
     return F.greatest(a, b) if fn == "max" else F.least(a, b)
 
 
+def _value_of(fn: str, col: str | Column) -> Column:
+    """What one row adds: itself, or 1 to a count if it is not null."""
+    value = F.col(col) if isinstance(col, str) else col
+    return F.when(value.isNotNull(), 1) if fn == "count" else value
+
+
 def rolling(
     df: DataFrame,
     keys: list[str],
@@ -77,12 +83,12 @@ def rolling(
 ) -> DataFrame:
     """Aggregates over the look-back [t - days, t] of every row, both ends included.
 
-    ``aggs`` maps an output name to (count|sum|max|min, column). Rows are first reduced to one per
-    (key, time). Time is cut into blocks, one look-back long for usual keys and a fraction of it for
-    hot ones. The look-back ending at t is the tail of the block it starts in, the full blocks between,
-    and the head of its own block: each is a running aggregate, so the cost per row does not depend on
-    how many rows a look-back holds. With ``include_current=False`` the frame ends one microsecond
-    before t. With ``per_event`` the result is joined back to the rows; that join may split a hot key.
+    ``aggs`` maps an output name to (count|sum|max|min, column). Time is cut into blocks, one look-back
+    long for usual keys and a fraction of it for hot ones. The look-back ending at t is the tail of the
+    block it starts in, the full blocks between, and the head of its own block: each is a running
+    aggregate, so the cost per row does not depend on how many rows a look-back holds. With
+    ``include_current=False`` the frame ends one microsecond before t. With ``per_event`` every row carries its
+    columns through the one shuffle; otherwise rows are first reduced to one per (key, time), which is what returns.
     """
     cuts = blocks_per_window or max(1, int(days * 4))
     length = days_us(days)
@@ -92,24 +98,30 @@ def rolling(
         value = F.col(col) if isinstance(col, str) else col
         parts.append((F.count(value) if fn == "count" else _MERGE[fn](value)).alias(name))
     points = df.withColumn(_POS, micros(ts)).groupBy(*keys, _POS).agg(*parts)
+    carried = []
+    if per_event:
+        types = {n: points.schema[n].dataType for n in names}
+        each = [_value_of(fn, c).cast(types[n]).alias(n) for n, (fn, c) in aggs.items()]
+        carried = ["_carried"]
+        points = df.select(*keys, micros(ts).alias(_POS), *each, F.struct(*[F.col(c) for c in df.columns]).alias("_carried"))
     hot = hot_keys(df, keys)
     points = _mark(points, keys, hot)
     step = F.when(F.col(_HOT), F.lit(cuts)).otherwise(F.lit(1))
     # Hot blocks are numbered in units of length / cuts; the same integer arithmetic places the copies.
     points = points.withColumn("_step", step).withColumn(_BLK, floor_div(F.col(_POS) * F.col("_step"), F.lit(length).cast("bigint")))
 
-    native = points.select(*keys, _BLK, _POS, *names, F.lit(0).alias(_ROW))
+    native = points.select(*keys, _BLK, _POS, *names, *carried, F.lit(0).alias(_ROW))
     leaving = points.select(
         *keys, (F.col(_BLK) + F.col("_step")).alias(_BLK), (F.col(_POS) + length).alias(_POS), *names, F.lit(1).alias(_ROW)
     )
-    rows = native.unionByName(leaving)
+    rows = native.unionByName(leaving, allowMissingColumns=True)
     if hot is not None and cuts > 1:
         per_block = points.filter(F.col(_HOT)).groupBy(*keys, _BLK).agg(*[_MERGE[aggs[n][0]](n).alias(n) for n in names])
         between = Window.partitionBy(*keys).orderBy(_BLK).rangeBetween(-(cuts - 1), -1)
         middle = per_block.select(
             *keys, _BLK, F.lit(-(2**62)).alias(_POS), *[_MERGE[aggs[n][0]](n).over(between).alias(n) for n in names], F.lit(2).alias(_ROW)
         )
-        rows = rows.unionByName(middle)
+        rows = rows.unionByName(middle, allowMissingColumns=True)
 
     group = Window.partitionBy(*keys, _BLK)
     head = group.orderBy(F.col(_POS).asc()).rangeBetween(Window.unboundedPreceding, 0 if include_current else -1)
@@ -122,10 +134,10 @@ def rolling(
         rows = rows.withColumn(f"_own_{name}", own).withColumn(f"_old_{name}", old)
         both = _combine(fn, F.col(f"_own_{name}"), F.col(f"_old_{name}"))
         out.append((F.coalesce(both, F.lit(0)) if fn == "count" else both).alias(name))
-    rows = rows.filter(F.col(_ROW) == 0).select(*keys, _POS, *out)
-    if not per_event:
-        return rows.withColumn(ts, F.timestamp_micros(_POS).cast(df.schema[ts].dataType)).drop(_POS)
-    return join_null_safe(df.withColumn(_POS, micros(ts)), rows, [*keys, _POS], "left").drop(_POS)
+    rows = rows.filter(F.col(_ROW) == 0)
+    if per_event:
+        return rows.select("_carried.*", *out)
+    return rows.select(*keys, _POS, *out).withColumn(ts, F.timestamp_micros(_POS).cast(df.schema[ts].dataType)).drop(_POS)
 
 
 def _last_of_block_before(rows: DataFrame, keys: list[str], last: Column) -> DataFrame:
