@@ -42,6 +42,8 @@ def test_small_tables_keep_plain_windows(facts, tmp_path):
     df.write.parquet(str(tmp_path / "facts"))
     read = df.sparkSession.read.parquet(str(tmp_path / "facts"))
     assert (hot_keys(read, ["k"]) is None) == (floor == "1000000")
+    read.createOrReplaceTempView("small_facts")
+    assert (hot_keys(df.sparkSession.sql("WITH c AS (SELECT * FROM small_facts) SELECT * FROM c"), ["k"]) is None) == (floor == "1000000")
 
 
 @pytest.mark.parametrize("days", [0.5, 30])
@@ -120,3 +122,38 @@ def test_null_and_many_hot_keys(spark):
         same(ranked.select("k", "v", "n"), df.groupBy("k", "v").agg(F.count("id").alias("n")))
     finally:
         spark.conf.unset("spark.tideglass.hotRows")
+
+
+def test_distinct_parties_over_two_look_backs(spark):
+    """Against sets, at every event and every time one leaves; a hot entity, repeated events, a fall to zero."""
+    import datetime as dt
+    import random
+
+    from pyspark.sql import functions as F
+
+    from tideglass.operators.catalogue import distinct_parties
+
+    rng = random.Random(2)
+    base, day, tick = dt.datetime(2020, 1, 1), dt.timedelta(days=1), dt.timedelta(microseconds=1)
+    rows = [(rng.choice([1, 1, 1, 2, 3, None]), rng.randrange(5), base + day * rng.randrange(400), rng.choice([9, 10, 11])) for _ in range(200)]
+    rows += rows[:20] + [(4, 1, base, 9), (5, 1, base, 9), (5, 1, base + 30 * day, 9), (5, 1, base + 60 * day + tick, 9)]
+    as_of, span = base + 380 * day, 30 * day
+    df = spark.createDataFrame(rows, "counterparty_id int, party_no int, event_time timestamp_ntz, kind_no int")
+    for floor in (None, "30"):
+        if floor:
+            spark.conf.set("spark.tideglass.hotRows", floor)
+        try:
+            for change in (True, False):
+                got = {(r.entity_id, r.observed_at): r.value for r in distinct_parties(df, "x", [9, 10], 30, change, F.lit(str(as_of)).cast("timestamp_ntz")).collect()}
+                hits = {r[:3] for r in rows if r[3] in (9, 10)}
+                want = {}
+                for who, _, t in hits:
+                    for at in (t, t + span + tick):
+                        now = {p for k, p, x in hits if k == who and at - span <= x <= at}
+                        then = {p for k, p, x in hits if k == who and at - 2 * span <= x <= at - span}
+                        if at <= as_of:
+                            want[who, at] = float(len(now) - (len(then) if change else 0))
+                assert got == want
+                assert change or got[4, base + span + tick] == 0.0  # the fall to zero has its row
+        finally:
+            spark.conf.unset("spark.tideglass.hotRows")

@@ -8,7 +8,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from tideglass.functions.scalars import days_us, floor_div, micros
-from tideglass.operators.ordered import asof, rolling, with_previous
+from tideglass.operators.ordered import running, asof, rolling, with_previous
 from tideglass.sources.reference import values
 
 LONG = ["entity_id", "observed_at", "feature_name", "value", "state"]
@@ -124,18 +124,35 @@ def event_counts(events: DataFrame) -> DataFrame:
     return out
 
 
-def distinct_party_changes(events: DataFrame, name: str, kinds: list[int], days: int) -> DataFrame:
-    """Distinct parties per slot of ``days`` and the change to the slot before (0 when that one is empty)."""
-    length = days_us(days)
-    slots = events.filter(F.col("kind_no").isin(kinds)).withColumn("_s", floor_div(micros("event_time"), F.lit(length).cast("bigint")))
-    per = slots.groupBy("counterparty_id", "_s").agg(F.count_distinct("party_no").alias("parties"))
-    before = per.select("counterparty_id", (F.col("_s") + 1).alias("_s"), F.col("parties").alias("_p"))
-    rows = per.join(before, ["counterparty_id", "_s"], "left")
-    observed_at = F.timestamp_micros(((F.col("_s") + 1) * length).cast("bigint")).cast("timestamp_ntz")
-    change = F.col("parties") - F.coalesce("_p", F.lit(0))
-    return rows.select(
-        F.col("counterparty_id").alias("entity_id"), observed_at.alias("observed_at"), F.lit(name).alias("feature_name"), change.cast("double").alias("value"),
-        F.when(change == 0, "ZERO").otherwise("VALUE").alias("state"),
+def distinct_parties(events: DataFrame, name: str, kinds: list[int], days: int, change: bool, as_of: Column) -> DataFrame:
+    """Distinct parties in the look-back [t - days, t], or their change against the look-back that ends days earlier.
+
+    A party is present from an event until ``days`` after it. An event adds +1 where its party was not present, and -1 a microsecond
+    after its own look-back ends; where it prolongs a presence, it takes back the end that the event before has set. So the count is a running
+    sum, exact for any number of parties, and the change is the same sum with each step taken back ``days`` later. Reported at
+    every event and at every time one leaves the look-back, so a fall, to zero too, has its row; nothing later than ``as_of``.
+    """
+    length, who = F.lit(days_us(days)).cast("bigint"), "counterparty_id"
+    hits = events.filter(F.col("kind_no").isin(kinds)).select(who, "party_no", "event_time").distinct()
+    seen = with_previous(hits, [who, "party_no"], "event_time", [], {"_before": "event_time"}, days=days)
+    at = micros("event_time")
+    ends, set_before = at + length + 1, micros("_before") + length + 1
+    fresh = set_before.isNull() | (at >= set_before)
+
+    def step(when: Column, d: Column, asked: bool) -> Column:
+        return F.struct(when.alias("_at"), d.cast("bigint").alias("_d"), F.lit(asked).alias("_asked"))
+
+    kept_on = F.when(~fresh, set_before)
+    steps = [step(at, fresh.cast("int"), True), step(ends, F.lit(-1), True), step(kept_on, F.lit(1), False)]
+    if change:
+        steps += [step(at + length, -fresh.cast("int"), False), step(ends + length, F.lit(1), False), step(kept_on + length, F.lit(-1), False)]
+    rows = seen.select(who, F.inline(F.array(*steps))).filter(F.col("_at") <= micros(as_of))
+    rows = rows.groupBy(who, "_at").agg(F.sum("_d").alias("_d"), F.bool_or("_asked").alias("_asked"))
+    rows = rows.withColumn("observed_at", F.timestamp_micros("_at").cast("timestamp_ntz"))
+    counted = running(rows, [who], "observed_at", [], {"_n": ("sum", "_d")}, days=days).filter("_asked")
+    return counted.select(
+        F.col(who).alias("entity_id"), "observed_at", F.lit(name).alias("feature_name"), F.col("_n").cast("double").alias("value"),
+        F.when(F.col("_n") == 0, "ZERO").otherwise("VALUE").alias("state"),
     )
 
 

@@ -36,7 +36,9 @@ LEAST_ROW_BYTES = 16
 def largest_table(df: DataFrame) -> int:
     """Bytes of the largest table that the rows come from, by the sizes of its files; no job is started."""
     leaves = df._jdf.queryExecution().analyzed().collectLeaves()
-    return max((int(str(leaves.apply(i).stats().sizeInBytes())) for i in range(leaves.size())), default=0)
+    tables = [leaves.apply(i) for i in range(leaves.size())]
+    # A reference to a common table expression has no size of its own; the tables of its definition are leaves too.
+    return max((int(str(t.stats().sizeInBytes())) for t in tables if t.nodeName() != "CTERelationRef"), default=0)
 
 
 def hot_keys(df: DataFrame, keys: list[str]) -> DataFrame | None:

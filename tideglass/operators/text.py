@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, Window, functions as F
 # (phrase, category, confidence)
 PHRASES = [
     ("going concern", "GOING_CONCERN_WARNING", 0.9), ("qualified opinion", "AUDITOR_QUALIFICATION_ADVERSE", 0.9),
-    ("material uncertainty", "GOING_CONCERN_WARNING", 0.8), ("license", "LICENCE_REFERENCE", 0.5),
+    ("material uncertainty", "GOING_CONCERN_WARNING", 0.8), ("license", "LICENCE_REFERENCE", 0.5), ("all rights reserved", "RIGHTS_RESERVED_NOTICE", 0.6),
 ]
 
 

@@ -70,19 +70,24 @@ def counts(t):
     return cat.event_counts(t.corporate_event)
 
 
-PARTY = [("secured_creditor_count_change_90d", (9, 10), 90), ("lender_count_change_12m", (6, 8), 365), ("active_secured_party_count", (9,), 180)]
+#: name, kinds of events, days, whether the change against one look-back earlier is asked
+PARTY = [("secured_creditor_count_change_90d", (9, 10), 90, True), ("lender_count_change_12m", (6, 8), 365, True), ("active_secured_party_count", (9,), 180, False)]
+PARTY_AS_OF = "1999-01-01 00:00:00"
 
 
-def party_sql(name, kinds, days):
-    us = days * 86400000000
-    return f"""SELECT p.counterparty_id AS entity_id, make_timestamp(CAST((p.s + 1) * {us} AS BIGINT)) AS observed_at, '{name}' AS feature_name, CAST(p.n - coalesce(b.n, 0) AS DOUBLE) AS value, CASE WHEN p.n = coalesce(b.n, 0) THEN 'ZERO' ELSE 'VALUE' END AS state
-FROM (SELECT counterparty_id, CAST(floor(epoch_us(event_time) / {us}.0) AS BIGINT) AS s, count(DISTINCT party_no) AS n FROM b_corporate_event WHERE kind_no IN ({','.join(map(str, kinds))}) GROUP BY ALL) p
-LEFT JOIN (SELECT counterparty_id, CAST(floor(epoch_us(event_time) / {us}.0) AS BIGINT) AS s, count(DISTINCT party_no) AS n FROM b_corporate_event WHERE kind_no IN ({','.join(map(str, kinds))}) GROUP BY ALL) b ON p.counterparty_id = b.counterparty_id AND p.s = b.s + 1"""
+def party_sql(name, kinds, days, change):
+    span = f"INTERVAL {days} DAY"
+    older = f" - count(DISTINCT h.party_no) FILTER (h.event_time <= a.at - {span})" if change else ""
+    return f"""SELECT a.counterparty_id AS entity_id, CAST(a.at AS TIMESTAMP) AS observed_at, '{name}' AS feature_name, CAST(count(DISTINCT h.party_no) FILTER (h.event_time >= a.at - {span}){older} AS DOUBLE) AS value
+FROM (SELECT DISTINCT counterparty_id, unnest([event_time, event_time + {span} + INTERVAL 1 MICROSECOND]) AS at FROM b_corporate_event WHERE kind_no IN ({','.join(map(str, kinds))})) a
+LEFT JOIN b_corporate_event h ON h.counterparty_id = a.counterparty_id AND h.kind_no IN ({','.join(map(str, kinds))}) AND h.event_time BETWEEN a.at - {span}{f" - {span}" if change else ""} AND a.at
+WHERE a.at <= TIMESTAMP '{PARTY_AS_OF}' GROUP BY a.counterparty_id, a.at"""
 
 
-@query("feature_distinct_parties", " UNION ALL ".join(party_sql(*p) for p in PARTY))
+@query("feature_distinct_parties", "SELECT *, CASE WHEN value = 0 THEN 'ZERO' ELSE 'VALUE' END AS state FROM (" + " UNION ALL ".join(party_sql(*p) for p in PARTY) + ")")
 def _(t):
-    parts = [cat.distinct_party_changes(t.corporate_event, n, list(k), d) for n, k, d in PARTY]
+    as_of = F.lit(PARTY_AS_OF).cast("timestamp_ntz")
+    parts = [cat.distinct_parties(t.corporate_event, n, list(k), d, change, as_of) for n, k, d, change in PARTY]
     return parts[0].unionByName(parts[1]).unionByName(parts[2])
 
 
