@@ -48,4 +48,4 @@ def test_query_with_hot_keys(spark, con, name):
 
 def test_every_query_reads_given_tables():
     for name, sql in entry.oracle_sql().items():
-        assert any(f" {t}" in sql for t in ("lineitem", "orders", "customer", "supplier", "events", "documents", "labels")), name
+        assert any(f" {t}" in sql for t in ("lineitem", "orders", "customer", "supplier", "events", "documents", "labels", "pages")), name
