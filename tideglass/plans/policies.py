@@ -5,7 +5,7 @@ from dataclasses import replace
 from pyspark.sql import functions as F
 
 from tideglass.functions.scalars import usable_dpd, value_state
-from tideglass.operators import features as feat, policy as pol
+from tideglass.operators import features as feat, policy as pol, policy_windows as pw
 from tideglass.plans.sqltext import DPD_FEATURES, PAYMENT_POINTS, UTILIZATION
 from tideglass.plans.utilization import util
 from tideglass.registry import query
@@ -164,3 +164,93 @@ def _(t):
 @query("agg_segment_impact", f"WITH {SIM} SELECT counterparty_id % 5 AS segment, CAST(sum(c) AS BIGINT) AS candidate, CAST(sum(b) AS BIGINT) AS baseline, CAST(sum(c) - sum(b) AS BIGINT) AS delta FROM sim GROUP BY 1")
 def _(t):
     return pol.impact(simulated(t), F.col("counterparty_id") % 5, "segment")
+
+
+# Rules with look-backs of their own: over utilisation itself, limit changes, rating actions and payments to related parties.
+UNDER_PRESSURE = pol.Policy(
+    "POL-CORP-FUNDING-PRESSURE-001", "FUNDING_PRESSURE", "PRIORITY", {"FULL": 1.0, "JUMP": 0.5, "TIMES": 2},
+    (
+        pol.Rule("R-FPR-001", 100, {"all": [
+            {"exists": "rating_action", "days": 90, "where": {"left": {"feature": "rating"}, "operator": "IN", "right": {"literal": ["B", "CCC"]}}},
+            {"left": {"count": "utilization_ratio", "days": 180, "where": {"left": {"feature": "utilization_ratio"}, "operator": "GTE", "right": {"parameter": "FULL"}}}, "operator": "GTE", "right": {"parameter": "TIMES"}},
+        ]}, "FUNDING_PRESSURE", "HIGH", ("LIQUIDITY",)),
+        pol.Rule("R-FPR-002", 200, {"all": [
+            {"left": {"count": "limit_change", "days": 180}, "operator": "GTE", "right": {"parameter": "TIMES"}},
+            {"left": {"percentage_change": "utilization_ratio", "days": 90}, "operator": "GTE", "right": {"parameter": "JUMP"}},
+        ]}, "FUNDING_PRESSURE", "MEDIUM", ("LIQUIDITY",)),
+    ),
+    missing="RULE_NOT_MATCHED",
+)
+ROUTED_AWAY = pol.Policy(
+    "POL-CORP-ROUTED-AWAY-001", "ROUTED_AWAY", "ALL_MATCHES", {"FULL": 1.0, "RISE": 1.0},
+    (
+        pol.Rule("R-RTA-001", 100, {"all": [
+            {"exists": "transfer", "days": 30, "where": {"left": {"feature": "related_party"}, "operator": "EQ", "right": {"literal": True}}},
+            {"left": {"changed_by": "utilization_ratio", "days": 90}, "operator": "GTE", "right": {"parameter": "RISE"}},
+        ]}, "ROUTED_AWAY", "HIGH", ("LIQUIDITY",)),
+        pol.Rule("R-RTA-002", 200, {"all": [
+            # The same look-back as R-FPR-001 has: planned once for both policies.
+            {"left": {"count": "utilization_ratio", "days": 180, "where": {"left": {"feature": "utilization_ratio"}, "operator": "GTE", "right": {"parameter": "FULL"}}}, "operator": "GTE", "right": {"literal": 3}},
+            {"not": {"exists": "rating_action", "days": 90, "where": {"left": {"feature": "rating"}, "operator": "IN", "right": {"literal": ["B", "CCC"]}}}},
+            {"left": {"age_days": "limit_at"}, "operator": "GTE", "right": {"literal": 30}},
+        ]}, "ROUTED_AWAY", "LOW", ("LIQUIDITY",)),
+    ),
+)
+WINDOWED = f"""{UTILIZATION}, lat AS (SELECT facility_id, effective_at AS limit_at, row_number() OVER (PARTITION BY facility_id ORDER BY effective_at DESC) AS rn FROM lims),
+base AS (SELECT u.*, CASE WHEN state IN ('VALUE','ZERO') THEN utilization_ratio END AS v, limit_at FROM util u LEFT JOIN (SELECT * FROM lat WHERE rn = 1) l ON u.facility_id = l.facility_id),
+pts AS (SELECT facility_id, effective_at, max(v) AS v FROM base WHERE v IS NOT NULL GROUP BY ALL),
+own AS (SELECT b.*, p.v AS old, count(CASE WHEN b.v >= 1.0 THEN 1 END) OVER (PARTITION BY b.facility_id ORDER BY b.effective_at RANGE BETWEEN INTERVAL 180 DAY PRECEDING AND CURRENT ROW) AS full_count
+  FROM base b ASOF LEFT JOIN pts p ON b.facility_id = p.facility_id AND b.effective_at - INTERVAL 90 DAY >= p.effective_at),
+wnd AS (SELECT event_id, effective_at, limit_at, v, full_count, v - old AS moved, CASE WHEN old <> 0 THEN (v - old) / abs(old) END AS share,
+  (SELECT count(*) FROM b_limit_changed l WHERE l.facility_id = own.facility_id AND l.effective_at BETWEEN own.effective_at - INTERVAL 180 DAY AND own.effective_at) AS limits,
+  (SELECT count(*) FROM b_rating_action r WHERE r.issuer_id = own.facility_id AND r.rating IN ('B','CCC') AND r.action_time BETWEEN own.effective_at - INTERVAL 90 DAY AND own.effective_at) AS ratings,
+  (SELECT count(*) FROM b_transfer p WHERE p.payer_id = own.facility_id AND p.related_party AND p.event_time BETWEEN own.effective_at - INTERVAL 30 DAY AND own.effective_at) AS related,
+  CASE WHEN limit_at IS NOT NULL THEN CAST(floor(CAST(epoch_us(effective_at) - epoch_us(limit_at) AS DOUBLE) / 86400000000.0) AS BIGINT) END AS age FROM own)"""
+
+
+def windowed(t):
+    """Utilisation with every look-back that the two policies name, and the policies over them."""
+    latest = t.limit_changed.groupBy("facility_id").agg(F.max("effective_at").alias("limit_at"))
+    rows = util_rows(t).join(latest, "facility_id", "left")
+    sources = {
+        "limit_change": pw.Source(t.limit_changed, ("facility_id",), "effective_at"),
+        "rating_action": pw.Source(t.rating_action, ("issuer_id",), "action_time"),
+        "transfer": pw.Source(t.transfer, ("payer_id",), "event_time"),
+    }
+    return pw.compile_policies(rows, ["facility_id"], "effective_at", [UNDER_PRESSURE, ROUTED_AWAY], sources)
+
+
+@query(
+    "policy_window_values",
+    f"WITH {WINDOWED} SELECT event_id, full_count, limits, ratings, related, round(moved, 6) AS moved, round(share, 6) AS share, age FROM wnd",
+)
+def _(t):
+    rows, _, backs = windowed(t)
+    column = {(b.kind, b.of): F.col(n) for b, n in backs.items()}
+    return rows.select(
+        "event_id", column["count", "utilization_ratio"].alias("full_count"), column["count", "limit_change"].alias("limits"),
+        column["count", "rating_action"].alias("ratings"), column["count", "transfer"].alias("related"),
+        F.round(column["changed_by", "utilization_ratio"], 6).alias("moved"), F.round(column["percentage_change", "utilization_ratio"], 6).alias("share"),
+        column["age_days", "limit_at"].alias("age"),
+    )
+
+
+@query(
+    "policy_window_priority",
+    f"""WITH {WINDOWED} SELECT event_id, CASE WHEN ratings > 0 AND full_count >= 2 THEN 'R-FPR-001' WHEN limits >= 2 AND share >= 0.5 THEN 'R-FPR-002' ELSE '' END AS rule_id,
+  CASE WHEN ratings > 0 AND full_count >= 2 THEN 'HIGH' WHEN limits >= 2 AND share >= 0.5 THEN 'MEDIUM' ELSE '' END AS severity,
+  CASE WHEN (ratings > 0 AND full_count >= 2) OR (limits >= 2 AND share >= 0.5) THEN 'MATCHED' ELSE 'NOT_MATCHED' END AS status FROM wnd""",
+)
+def _(t):
+    rows, (pressure, _), _ = windowed(t)
+    return flat(pol.evaluate(rows, pressure), "event_id")
+
+
+@query(
+    "policy_window_all_matches",
+    f"""WITH {WINDOWED} SELECT event_id, 'R-RTA-001' AS rule_id, 'HIGH' AS severity FROM wnd WHERE related > 0 AND moved >= 1.0
+UNION ALL SELECT event_id, 'R-RTA-002', 'LOW' FROM wnd WHERE full_count >= 3 AND ratings = 0 AND age >= 30""",
+)
+def _(t):
+    rows, (_, away), _ = windowed(t)
+    return pol.evaluate_all(rows, away).select("event_id", "match.rule_id", "match.severity")
