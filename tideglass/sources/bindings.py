@@ -48,6 +48,10 @@ SELECT concat_ws('-', l.l_orderkey, l.l_linenumber, l.l_partkey, l.l_suppkey, CA
        CAST(l.l_extendedprice AS DECIMAL(20,2)) AS amount, c.c_nationkey = s.s_nationkey AS related_party
 FROM lineitem l JOIN orders o ON l.l_orderkey = o.o_orderkey
 JOIN customer c ON o.o_custkey = c.c_custkey JOIN supplier s ON l.l_suppkey = s.s_suppkey""",
+    # Money of an account: what it draws comes in, what it pays goes out.
+    "b_movement": """
+SELECT o_custkey AS account_id, o_orderdate AS event_time, CAST(CAST(o_totalprice AS DECIMAL(20,2)) * 100 AS BIGINT) AS cents FROM orders
+UNION ALL SELECT payer_id, event_time, CAST(-amount * 100 AS BIGINT) FROM b_transfer""",
     # Related parties' money: payments to suppliers, refunds to their payers, and what one supplier of an order hands to the next.
     "b_related_flow": """
 SELECT concat('C', payer_id) AS src, concat('S', beneficiary_id) AS dst, CAST(sum(amount) AS DECIMAL(38,2)) AS amount FROM b_transfer WHERE related_party GROUP BY 1, 2
@@ -218,6 +222,7 @@ class Tables:
     outstanding_changed = cached_property(lambda self: self.view("b_outstanding_changed"))
     counterparty = cached_property(lambda self: self.view("b_counterparty"))
     transfer = cached_property(lambda self: self.view("b_transfer"))
+    movement = cached_property(lambda self: self.view("b_movement"))
     related_flow = cached_property(lambda self: self.view("b_related_flow"))
     feature_history = cached_property(lambda self: self.view("b_feature_history"))
     disposition = cached_property(lambda self: self.view("b_disposition"))
