@@ -52,6 +52,22 @@ JOIN customer c ON o.o_custkey = c.c_custkey JOIN supplier s ON l.l_suppkey = s.
     "b_movement": """
 SELECT o_custkey AS account_id, o_orderdate AS event_time, CAST(CAST(o_totalprice AS DECIMAL(20,2)) * 100 AS BIGINT) AS cents FROM orders
 UNION ALL SELECT payer_id, event_time, CAST(-amount * 100 AS BIGINT) FROM b_transfer""",
+    # Time-ordered payments between accounts: customers pay suppliers, a supplier hands half on to the next line's one, and refunds.
+    "b_account_flow": """
+SELECT concat('T-', transfer_id) AS flow_id, concat('C', payer_id) AS src, concat('S', beneficiary_id) AS dst, event_time AS paid_at, CAST(amount * 100 AS BIGINT) AS cents FROM b_transfer
+UNION ALL
+SELECT concat('R-', transfer_id), concat('S', beneficiary_id), concat('C', payer_id), event_time + INTERVAL 10 DAY, CAST(floor(amount * 25) AS BIGINT) FROM b_transfer WHERE NOT related_party
+UNION ALL
+SELECT concat_ws('-', 'H', a.l_orderkey, a.l_linenumber, a.l_partkey, a.l_suppkey, CAST(a.l_shipdate AS DATE), z.l_partkey, z.l_suppkey, CAST(z.l_shipdate AS DATE)), concat('S', a.l_suppkey), concat('S', z.l_suppkey),
+       a.l_shipdate + INTERVAL 5 DAY, CAST(floor(CAST(a.l_extendedprice AS DECIMAL(20,2)) * 50) AS BIGINT)
+FROM lineitem a JOIN lineitem z ON a.l_orderkey = z.l_orderkey AND z.l_linenumber = a.l_linenumber + 1 WHERE a.l_suppkey <> z.l_suppkey""",
+    # Drawings of a borrower, the suppliers each may pay, and where an account is at home.
+    "b_drawing": """
+SELECT concat('D', o_orderkey) AS drawing_id, concat('C', o_custkey) AS account, o_orderdate AS paid_at, CAST(CAST(o_totalprice AS DECIMAL(20,2)) * 100 AS BIGINT) AS cents FROM orders""",
+    "b_agreed_use": """
+SELECT DISTINCT concat('D', l_orderkey) AS drawing_id, concat('S', l_suppkey) AS dst FROM lineitem""",
+    "b_account_home": """
+SELECT concat('C', c_custkey) AS account, c_nationkey AS home FROM customer UNION ALL SELECT concat('S', s_suppkey), s_nationkey FROM supplier""",
     # Related parties' money: payments to suppliers, refunds to their payers, and what one supplier of an order hands to the next.
     "b_related_flow": """
 SELECT concat('C', payer_id) AS src, concat('S', beneficiary_id) AS dst, CAST(sum(amount) AS DECIMAL(38,2)) AS amount FROM b_transfer WHERE related_party GROUP BY 1, 2
@@ -223,6 +239,10 @@ class Tables:
     counterparty = cached_property(lambda self: self.view("b_counterparty"))
     transfer = cached_property(lambda self: self.view("b_transfer"))
     movement = cached_property(lambda self: self.view("b_movement"))
+    account_flow = cached_property(lambda self: self.view("b_account_flow"))
+    drawing = cached_property(lambda self: self.view("b_drawing"))
+    agreed_use = cached_property(lambda self: self.view("b_agreed_use"))
+    account_home = cached_property(lambda self: self.view("b_account_home"))
     related_flow = cached_property(lambda self: self.view("b_related_flow"))
     feature_history = cached_property(lambda self: self.view("b_feature_history"))
     disposition = cached_property(lambda self: self.view("b_disposition"))
