@@ -9,7 +9,7 @@ from tideglass.registry import QUERIES
 
 SF_DIR = os.environ.get("TIDEGLASS_SF_DIR", "/root/testdata/sf0.001")
 #: Queries that drain a stream, write a table or go round by round have jobs of their own before their result can be read.
-RUN = ("stream_", "sink_", "graph_", "isolate_", "ml_")
+RUN = ("stream_", "sink_", "graph_", "isolate_", "ml_", "trace_", "signal_use_of_funds")
 
 
 def jobs(spark, build):

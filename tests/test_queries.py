@@ -14,6 +14,7 @@ SAMPLE = [
     "assess_human_review", "audit_hypothesis", "audit_assessment", "src_canonical_events", "sink_signal_insert_if_absent",
     "feature_roll", "feature_rating_notches", "win_peer_percentile", "graph_group_components", "signal_round_tripping",
     "text_candidate_spans", "ml_training_extract", "stream_dpd_signals", "stream_rolling_count",
+    "policy_window_values", "signal_balance_drain", "trace_drawn_money",
 ]
 
 
