@@ -139,6 +139,14 @@ SELECT o.o_custkey AS owner_id, l.l_suppkey AS owned_id,
        l.l_shipdate AS valid_from, l.l_shipdate + INTERVAL 365 DAY AS valid_to,
        CAST(l.l_quantity / 50 AS DECIMAL(6,4)) AS confidence
 FROM lineitem l JOIN orders o ON l.l_orderkey = o.o_orderkey""",
+    # Holdings in parts of ten thousand: customers hold suppliers, and suppliers hold customers back, so there are circles.
+    "b_holding": """
+SELECT concat('C', owner_id) AS src, concat('S', owned_id) AS dst, CAST(confidence * 500 AS BIGINT) AS weight, valid_from, valid_to FROM b_relationship WHERE edge_type = 'CONTROL'
+UNION ALL SELECT concat('S', owned_id), concat('C', owner_id), CAST(confidence * 10000 AS BIGINT), valid_from, valid_to FROM b_relationship WHERE confidence <= 0.1""",
+    # What a party depends on the other of a relation, by kind and strength; both ways.
+    "b_dependency": """
+SELECT concat('C', owner_id) AS src, concat('S', owned_id) AS dst, CAST(confidence * 100 AS BIGINT) * CASE edge_type WHEN 'CONTROL' THEN 5 ELSE 4 END AS weight, valid_from, valid_to FROM b_relationship WHERE edge_type IN ('CONTROL','GUARANTEE')
+UNION ALL SELECT concat('S', owned_id), concat('C', owner_id), CAST(confidence * 100 AS BIGINT) * CASE edge_type WHEN 'CONTROL' THEN 5 ELSE 4 END, valid_from, valid_to FROM b_relationship WHERE edge_type IN ('CONTROL','GUARANTEE')""",
     # Contributors to hypotheses: a line is one detection about the counterparty named by its supplier.
     "b_contributor": """
 SELECT concat_ws('-', l_orderkey, l_linenumber, l_partkey, l_suppkey, CAST(l_shipdate AS DATE)) AS contributor_id,
@@ -252,6 +260,8 @@ class Tables:
     corporate_event = cached_property(lambda self: self.view("b_corporate_event"))
     market_quote = cached_property(lambda self: self.view("b_market_quote"))
     relationship = cached_property(lambda self: self.view("b_relationship"))
+    holding = cached_property(lambda self: self.view("b_holding"))
+    dependency = cached_property(lambda self: self.view("b_dependency"))
     contributor = cached_property(lambda self: self.view("b_contributor"))
     policy_version = cached_property(lambda self: self.view("b_policy_version"))
     policy_rule = cached_property(lambda self: self.view("b_policy_rule"))
