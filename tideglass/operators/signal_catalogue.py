@@ -164,11 +164,11 @@ def document_integrity(reconciled: DataFrame, factor: float) -> DataFrame:
     return reconciled.withColumn("signal_type", kind).filter("signal_type IS NOT NULL").withColumn("requires_review", F.lit(True))
 
 
-# (signal, share of a payer's outflow, level); suspicions on the use of drawn money are traced in ``tracing``
+# (signal, share of a payer's outflow, level); diversion and end-use mismatch of single drawings are traced in ``tracing``
 FLOW = [
-    ("RELATED_PARTY_DIVERSION_PATTERN", "related_share", 0.15),
+    ("FUND_DIVERSION_SUSPECTED", "related_share", 0.10), ("RELATED_PARTY_DIVERSION_PATTERN", "related_share", 0.15),
     ("FUND_SIPHONING_SUSPECTED", "distressed_share", 0.25), ("SHELL_ENTITY_EXPOSURE_SUSPECTED", "distressed_share", 0.35),
-    ("OUTSIDE_AGREED_ROUTING_ANOMALY", "outside_share", 0.90),
+    ("OUTSIDE_AGREED_ROUTING_ANOMALY", "outside_share", 0.90), ("END_USE_MISMATCH_SUSPECTED", "outside_share", 0.95),
 ]
 
 
