@@ -6,7 +6,7 @@ from collections import Counter
 import pytest
 from pyspark.sql import Window, functions as F
 
-from tideglass.operators.ordered import asof, exact_median, hot_keys, ranked_values, rolling, running, sessions, with_previous
+from tideglass.operators.ordered import asof, by_heat, exact_median, hot_keys, ranked_values, rolling, running, sessions, with_previous
 
 
 @pytest.fixture(scope="module", params=["1000000", "50"], ids=["usual", "hot"])
@@ -157,3 +157,24 @@ def test_distinct_parties_over_two_look_backs(spark):
                 assert change or got[4, base + span + tick] == 0.0  # the fall to zero has its row
         finally:
             spark.conf.unset("spark.tideglass.hotRows")
+
+
+def test_passes_over_the_same_keys(facts):
+    """As-of, look-back and previous value one after another: as plain windows, and one shuffle for the keys that are not hot."""
+    df, floor = facts
+    right = df.filter("id % 2 = 1").select("k", F.col("ts").alias("rts"), F.col("id").alias("rid"), F.col("v").alias("rv"))
+    left = df.filter("id % 2 = 0")
+
+    def then(rows, hot):
+        looked = rolling(rows, ["k"], "ts", 10, {"s": ("sum", "rv")}, hot=hot)
+        return with_previous(looked, ["k"], "ts", ["id"], {"p": "s"}, hot=hot)
+
+    known = asof(left, right, ["k"], "ts", "rts", ["rv"], ["rid"]).localCheckpoint()
+    look = Window.partitionBy("k").orderBy(F.unix_micros("ts")).rangeBetween(-10 * 86_400_000_000, 0)
+    want = known.withColumn("s", F.sum("rv").over(look)).withColumn("p", F.lag("s").over(Window.partitionBy("k").orderBy("ts", "id")))
+    same(asof(left, right, ["k"], "ts", "rts", ["rv"], ["rid"], then=then), want)
+    parts = []
+    by_heat(df, ["k"], lambda rows, hot: parts.append((rows, hot)) or rows)
+    assert parts[0][1] is None and all(hot is not None for _, hot in parts[1:])
+    usual = then(with_previous(parts[0][0], ["k"], "ts", ["id"], {"rv": "v"}, hot=None), None)
+    assert usual._jdf.queryExecution().executedPlan().toString().count("Exchange hashpartitioning(k") <= 2  # one of them counts rows by key
