@@ -71,6 +71,23 @@ def test_baselines_equal_a_loop(spark, points, hot):
         assert (r["n"], r["median"], r["deviation"]) == base(points, r["k"], r["at"])
 
 
+@pytest.mark.parametrize("digits", [1, 3])
+def test_sparse_baselines_equal_a_loop(spark, points, digits):
+    rows = bl.against_sparse_baseline(frame(spark, points), ["k"], "at", "v", digits=digits).collect()
+    assert sorted(map(repr, ((r["k"], r["at"], r["v"]) for r in rows))) == sorted(map(repr, points))
+    for r in rows:
+        want = base(points, r["k"], r["at"], change=lambda v: middle(v, digits)) if r["at"] is not None else (None, None, None)
+        assert (r["n"], r["median"], r["deviation"]) == want
+
+
+def test_rows_of_an_account_are_moved_by_day_and_once_more(spark):
+    """No class is sent to the twelve blocks ahead of it, and nothing is joined back."""
+    df = spark.createDataFrame([], "account_id string, event_time timestamp_ntz, cents long")
+    for found in (bl.balance_drains(df),):
+        plan = found._jdf.queryExecution().toString().split("== Physical Plan ==")[1]
+        assert plan.count("Exchange") <= 3 and "Join" not in plan
+
+
 def test_the_median_is_within_the_stated_error(spark, points):
     for r in bl.against_baseline(frame(spark, points), ["k"], "at", "v").filter("n > 0").collect():
         exact = base(points, r["k"], r["at"], change=lambda v: v)[1]

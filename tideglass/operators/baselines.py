@@ -17,7 +17,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from tideglass.functions.scalars import days_us, floor_div, micros
-from tideglass.operators.ordered import join_null_safe, running, with_previous
+from tideglass.operators.ordered import join_null_safe, with_previous
 
 #: 3.5 robust standard deviations (of 1.4826 median absolute deviations each), in hundredths of a deviation.
 FAR = 519
@@ -61,6 +61,26 @@ def against_baseline(points: DataFrame, keys: list[str], ts: str, value: str, bl
     return join_null_safe(points.withColumn("block", block_of(ts, block_days)), base, [*keys, "block"], "left").drop("block")
 
 
+def against_sparse_baseline(points: DataFrame, keys: list[str], ts: str, value: str, block_days: int = 30, blocks: int = 12, digits: int = 3) -> DataFrame:
+    """``against_baseline`` for keys with at most a few rows a day, so that the calendar bounds a block: no class is sent to the blocks ahead.
+
+    The rows of a block become one row, which reads the values of the blocks before it in one pass over the key: rows that lie
+    together by key are not moved again, and a key has one row a block.
+    """
+    small = leading(F.col(value).cast("bigint"), digits)
+    held = points.withColumn("block", block_of(ts, block_days)).groupBy(*keys, "block").agg(
+        F.collect_list(F.struct(*[F.col(c) for c in points.columns if c not in keys])).alias("_rows"), F.collect_list(small).alias("_vs")
+    )
+    before = Window.partitionBy(*keys).orderBy("block").rangeBetween(-blocks, -1)
+    past = held.withColumn("_past", F.when(F.col("block").isNotNull(), F.sort_array(F.flatten(F.collect_list("_vs").over(before)))))
+    middle = lambda values: F.when(F.size(values) > 0, F.element_at(values, F.greatest((F.size(values) + 1).cast("int") / 2, F.lit(1)).cast("int")))
+    past = past.withColumn("median", middle(F.col("_past")))
+    past = past.withColumn("deviation", middle(F.sort_array(F.transform("_past", lambda v: F.abs(v - F.col("median"))))))
+    n = F.when(F.col("block").isNotNull(), F.size("_past")).cast("bigint").alias("n")
+    rows = past.select(*keys, n, "median", "deviation", F.explode("_rows").alias("_row"))
+    return rows.select(*[F.col(c) if c in keys else F.col(f"_row.{c}").alias(c) for c in points.columns], "n", "median", "deviation")
+
+
 def _width(least: Column) -> Column:
     """A deviation that is never zero: at least a hundredth of the median, and at least ``least``."""
     return F.greatest("deviation", floor_div(F.abs("median"), 100), least)
@@ -105,9 +125,11 @@ def balance_drains(movements: DataFrame, minimum: int = 5, left_percent: int = 2
     """
     day = F.date_trunc("day", "event_time").cast("timestamp_ntz")
     daily = movements.filter("event_time IS NOT NULL").groupBy("account_id", day.alias("day")).agg(F.sum("cents").alias("_moved"))
-    closing = running(daily, ["account_id"], "day", [], {"balance": ("sum", "_moved")}, days=365).drop("_moved")
-    stepped = with_previous(closing, ["account_id"], "day", [], {"balance_before": "balance"}, days=365)
-    rows = against_baseline(stepped, ["account_id"], "day", "balance")
+    # An account has at most one row a day, so windows over it are bounded by the calendar.
+    w = Window.partitionBy("account_id").orderBy("day")
+    closing = daily.withColumn("balance", F.sum("_moved").over(w.rowsBetween(Window.unboundedPreceding, 0))).drop("_moved")
+    stepped = closing.withColumn("balance_before", F.lag("balance").over(w))
+    rows = against_sparse_baseline(stepped, ["account_id"], "day", "balance")
     level = left_percent * F.col("median")
     hit = (F.col("n") >= minimum) & (F.col("median") > 0) & (100 * F.col("balance") <= level) & (100 * F.col("balance_before") > level)
     return rows.filter(hit).withColumn("signal_type", F.lit("ACCOUNT_BALANCE_DRAIN"))
