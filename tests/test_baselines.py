@@ -83,7 +83,7 @@ def test_sparse_baselines_equal_a_loop(spark, points, digits):
 def test_rows_of_an_account_are_moved_by_day_and_once_more(spark):
     """No class is sent to the twelve blocks ahead of it, and nothing is joined back."""
     df = spark.createDataFrame([], "account_id string, event_time timestamp_ntz, cents long")
-    for found in (bl.balance_drains(df),):
+    for found in (bl.balance_drains(df), bl.pattern_anomalies(df)):
         plan = found._jdf.queryExecution().toString().split("== Physical Plan ==")[1]
         assert plan.count("Exchange") <= 3 and "Join" not in plan
 

@@ -112,7 +112,7 @@ def pattern_anomalies(movements: DataFrame, block_days: int = 30, minimum: int =
         "account_id", F.timestamp_micros(F.col("_blk") * length).cast("timestamp_ntz").alias("block_start"),
         floor_div(F.col("_debit") * 1000, F.col("_all")).alias("debit_share"),
     )
-    rows = against_baseline(shares, ["account_id"], "block_start", "debit_share", block_days)
+    rows = against_sparse_baseline(shares, ["account_id"], "block_start", "debit_share", block_days)
     off = 100 * F.abs(F.col("debit_share") - F.col("median"))
     return rows.filter((F.col("n") >= minimum) & (off >= far * _width(F.lit(least).cast("bigint")))).withColumn("signal_type", F.lit("DEBIT_CREDIT_PATTERN_ANOMALY"))
 
