@@ -178,3 +178,39 @@ def test_passes_over_the_same_keys(facts):
     assert parts[0][1] is None and all(hot is not None for _, hot in parts[1:])
     usual = then(with_previous(parts[0][0], ["k"], "ts", ["id"], {"rv": "v"}, hot=None), None)
     assert usual._jdf.queryExecution().executedPlan().toString().count("Exchange hashpartitioning(k") <= 2  # one of them counts rows by key
+
+
+@pytest.mark.parametrize("floor", [str(10**18), "40"])
+def test_change_of_utilization_against_its_mean_before(spark, floor):
+    """As-of of the limit and look-back of the ratio by facility: one shuffle, and the figures of a loop, the null facility's too."""
+    import datetime as dt
+
+    from tideglass.operators.features import template_delta, utilization
+
+    rng, base = random.Random(4), dt.datetime(2020, 1, 1)
+    when = lambda: base + dt.timedelta(days=rng.randrange(120))
+    facility = lambda: rng.choice([1, 1, 1, 2, 3, None])
+    out = [(facility(), f"e{i}", when(), rng.choice([None, 5, 10, 40])) for i in range(120)]
+    lim = [(facility(), i, when(), rng.choice([None, 0, 20, 50])) for i in range(40)]
+    spark.conf.set("spark.tideglass.hotRows", floor)
+    try:
+        found = utilization(
+            spark.createDataFrame(out, "facility_id int, event_id string, effective_at timestamp_ntz, outstanding int"),
+            spark.createDataFrame(lim, "facility_id int, event_id int, effective_at timestamp_ntz, limit_amount int"),
+            lambda rows, hot: template_delta(rows.filter("utilization_ratio IS NOT NULL"), ["facility_id"], "effective_at", ["event_id"], "utilization_ratio", 30, hot),
+        )
+        got = {r["event_id"]: r["baseline"] and round(r["baseline"], 9) for r in found.collect()}
+    finally:
+        spark.conf.unset("spark.tideglass.hotRows")
+    if floor != "40":
+        assert found.select("*")._jdf.queryExecution().executedPlan().toString().count("Exchange hashpartitioning") == 1
+    known = {}
+    for f, e, at, amount in out:
+        newest = max(((t, i, x) for k, i, t, x in lim if k == f and t <= at), key=lambda r: r[:2], default=(None, None, None))[2]
+        if newest and amount is not None:
+            known[e] = (f, at, round(amount / newest, 6))
+    want = {}
+    for e, (f, at, _) in known.items():
+        earlier = [r for k, t, r in known.values() if k == f and at - dt.timedelta(days=30) <= t < at]
+        want[e] = round(sum(earlier) / len(earlier), 9) if earlier else None
+    assert got == want and any(want.values())

@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from tideglass.functions.scalars import NON_COUNTABLE_RETURNS, age_days, name_uuid, quality_state, safe_ratio, usable_dpd, value_state
-from tideglass.operators.ordered import asof, exact_median, ranked_values, rolling
+from tideglass.operators.ordered import FIND, asof, exact_median, ranked_values, rolling
 
 FEATURE_COLUMNS = [
     "feature_value_id", "definition_id", "feature_name", "definition_version", "entity_type", "entity_id", "state",
@@ -137,11 +138,11 @@ def template_roll(df: DataFrame, keys: list[str], ts: str, days: int, aggs: dict
     return rolling(df, keys, ts, days, aggs, per_event=False)
 
 
-def template_delta(df: DataFrame, keys: list[str], ts: str, ties: list[str], value: str, days: int) -> DataFrame:
+def template_delta(df: DataFrame, keys: list[str], ts: str, ties: list[str], value: str, days: int, hot: DataFrame | str | None = FIND) -> DataFrame:
     """Value minus the mean of the look-back that ends just before it."""
     d = df.withColumn("_v", F.col(value).cast("decimal(28,12)"))
     out = rolling(
-        d, keys, ts, days, {"_n": ("count", "_v"), "_sum": ("sum", "_v")}, include_current=False
+        d, keys, ts, days, {"_n": ("count", "_v"), "_sum": ("sum", "_v")}, include_current=False, hot=hot
     )
     baseline = F.when(F.col("_n") > 0, F.col("_sum").cast("double") / F.col("_n"))
     return out.withColumn("baseline", baseline).withColumn("delta", F.col(value).cast("double") - F.col("baseline")).drop(
@@ -193,19 +194,26 @@ def template_peer(df: DataFrame, cohort: list[str], value: str, minimum: int) ->
 # --- utilisation -----------------------------------------------------------------------------
 
 
-def utilization(outstanding: DataFrame, limits: DataFrame) -> DataFrame:
-    """Outstanding against the limit known at that moment; without a limit NOT_AVAILABLE, never 0."""
-    # Ties on one day: the limit of the highest event id is the last of that day.
-    joined = asof(outstanding, limits, ["facility_id"], "effective_at", "effective_at", ["limit_amount"], ["event_id"])
+def utilization(outstanding: DataFrame, limits: DataFrame, then: Callable[[DataFrame, DataFrame | None], DataFrame] | None = None, hot: DataFrame | str | None = FIND) -> DataFrame:
+    """Outstanding against the limit known at that moment; without a limit NOT_AVAILABLE, never 0.
+
+    ``then(rows, hot)`` goes on by facility without another shuffle of usual facilities, see ``ordered.by_heat``.
+    """
     lim = F.col("limit_amount")
     ratio = safe_ratio(F.col("outstanding"), lim)
-    return joined.select(
-        "*",
-        F.round(ratio, 6).alias("utilization_ratio"),
-        (lim - F.col("outstanding")).alias("headroom"),
-        F.when(lim.isNull(), "NOT_AVAILABLE").when(lim <= 0, "INVALID").when(F.col("outstanding") == 0, "ZERO")
-        .otherwise("VALUE").alias("state"),
-    )
+
+    def states(joined: DataFrame, hot: DataFrame | None) -> DataFrame:
+        rows = joined.select(
+            "*",
+            F.round(ratio, 6).alias("utilization_ratio"),
+            (lim - F.col("outstanding")).alias("headroom"),
+            F.when(lim.isNull(), "NOT_AVAILABLE").when(lim <= 0, "INVALID").when(F.col("outstanding") == 0, "ZERO")
+            .otherwise("VALUE").alias("state"),
+        )
+        return rows if then is None else then(rows, hot)
+
+    # Ties on one day: the limit of the highest event id is the last of that day.
+    return asof(outstanding, limits, ["facility_id"], "effective_at", "effective_at", ["limit_amount"], ["event_id"], then=states, hot=hot)
 
 
 def daily_excess(util: DataFrame) -> DataFrame:

@@ -275,6 +275,7 @@ def asof(
     right_ties: list[str],
     days: float = 7,
     then: Callable[[DataFrame, DataFrame | None], DataFrame] | None = None,
+    hot: DataFrame | str | None = FIND,
 ) -> DataFrame:
     """Newest right-hand values at or before each left row, null where there is none yet.
 
@@ -287,7 +288,7 @@ def asof(
         found = carry(rows, keys, left.columns, cols, days, hot)
         return found if then is None else then(found, hot)
 
-    return by_heat(stacked, keys, job)
+    return by_heat(stacked, keys, job, hot)
 
 
 def sessions(

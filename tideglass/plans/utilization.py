@@ -40,8 +40,11 @@ DELTA = f"""{UTILIZATION}, delta AS (SELECT event_id, facility_id, effective_at,
 
 
 def util_delta(t):
-    rows = util(t).filter("utilization_ratio IS NOT NULL")
-    return feat.template_delta(rows, ["facility_id"], "effective_at", ["event_id"], "utilization_ratio", 30)
+    def delta(rows, hot):
+        rows = rows.filter("utilization_ratio IS NOT NULL").select("event_id", "facility_id", "effective_at", "utilization_ratio")
+        return feat.template_delta(rows, ["facility_id"], "effective_at", ["event_id"], "utilization_ratio", 30, hot)
+
+    return feat.utilization(t.outstanding_changed, t.limit_changed, delta)
 
 
 @query("win_utilization_delta_30d", f"WITH {DELTA} SELECT event_id, round(baseline, 10) AS baseline, round(utilization_ratio - baseline, 10) AS delta FROM delta")
