@@ -3,6 +3,7 @@
 from datetime import datetime, timedelta
 
 import pytest
+from pyspark.sql import functions as F
 
 from tideglass.operators import policy as pol, policy_windows as pw
 
@@ -113,6 +114,25 @@ def test_rows_are_shuffled_once(spark):
     assert plan.count("Exchange hashpartitioning") == 1
 
 
+def test_rows_are_moved_before_they_are_spread(spark):
+    """A row takes part in several steps of the pass; usual keys move it once, not once a step."""
+    df, sources = tables(spark)
+    spark.conf.set("spark.tideglass.hotRows", str(10**18))
+    try:
+        plan = pw.compile_policies(df, ["k"], "at", POLICIES, sources)[0]._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.unset("spark.tideglass.hotRows")
+    assert plan.index("Generate") < plan.index("Exchange hashpartitioning")
+
+
+def test_given_hot_keys_change_no_figure(spark):
+    df, sources = tables(spark)
+    plain, _, _ = pw.compile_policies(df, ["k"], "at", POLICIES, sources)
+    hot = spark.createDataFrame([("a",), (None,)], "k string").withColumn("_hot", F.lit(True))
+    cut, _, _ = pw.compile_policies(df, ["k"], "at", POLICIES, sources, hot)
+    assert sorted(map(repr, cut.collect())) == sorted(map(repr, plain.collect()))
+
+
 def test_empty_tables(spark):
     df, sources = tables(spark, rows=[], notes=[])
     assert pw.compile_policies(df, ["k"], "at", POLICIES, sources)[0].count() == 0

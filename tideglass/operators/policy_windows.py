@@ -26,7 +26,7 @@ from dataclasses import dataclass, replace
 from pyspark.sql import Column, DataFrame, functions as F
 
 from tideglass.functions.scalars import VALUED_STATES
-from tideglass.operators.ordered import running
+from tideglass.operators.ordered import FIND, by_heat, running
 from tideglass.operators.policy import Compiler, Policy
 
 WINDOWS = ("count", "exists", "changed_by", "percentage_change", "age_days")
@@ -127,7 +127,7 @@ def _marked(rows: DataFrame, keys, ts: str, asked: Column | None, marks: dict[st
     )
 
 
-def _one_pass(rows: DataFrame, keys: list[str], ts: str, counts: dict[LookBack, str], olds: dict[tuple[str, int], str], sources: dict[str, Source]) -> DataFrame:
+def _one_pass(rows: DataFrame, keys: list[str], ts: str, counts: dict[LookBack, str], olds: dict[tuple[str, int], str], sources: dict[str, Source], hot: DataFrame | str | None) -> DataFrame:
     """All counts and older values of all lengths in one ordered pass over the rows stacked with their sources.
 
     A counted row adds 1 at its time and takes it back a microsecond after t + D; a value becomes the older value of length D at
@@ -161,12 +161,20 @@ def _one_pass(rows: DataFrame, keys: list[str], ts: str, counts: dict[LookBack,
     steps += [older(d) for d in sorted({d for _, d in olds})]
     key = [f"_k{i}" for i in range(len(keys))]
     brought = F.coalesce(*[F.col(n).cast("double") for n in [*counts.values(), *olds.values()]]).isNotNull()
-    spread = stacked.select(*key, F.inline(F.array(*steps)))
-    spread = spread.filter(F.when(F.col("_side") == 1, F.col("_asked").isNotNull()).otherwise(brought & F.col("_at").isNotNull()))
     figures = {n: ("sum", n) for n in counts.values()}
     figures |= {n: ("max", F.when(F.col(n).isNotNull(), F.struct("_at", F.col(n).alias("v")))) for n in olds.values()}
     longest = max([b.days for b in counts] + [d for _, d in olds])
-    read = running(spread, key, "_at", ["_side"], {f"_r{n}": how for n, how in figures.items()}, days=longest).filter("_side = 1")
+
+    def job(rows: DataFrame, hot: DataFrame | None) -> DataFrame:
+        # Rows of usual keys are moved before they are spread into steps.
+        spread = (rows.repartition(*key) if hot is None else rows).select(*key, F.inline(F.array(*steps)))
+        spread = spread.filter(F.when(F.col("_side") == 1, F.col("_asked").isNotNull()).otherwise(brought & F.col("_at").isNotNull()))
+        return running(spread, key, "_at", ["_side"], {f"_r{n}": how for n, how in figures.items()}, days=longest, hot=hot).filter("_side = 1")
+
+    held = stacked.filter(F.col("_asked").isNotNull() | (F.col("_t").isNotNull() & brought))
+    if isinstance(hot, DataFrame):
+        hot = hot.select(*[F.col(k).alias(n) for k, n in zip(keys, key)], *[c for c in hot.columns if c not in keys])
+    read = by_heat(held, key, job, hot)
     return read.select(
         "_asked.*", *[F.coalesce(f"_r{n}", F.lit(0).cast("bigint")).alias(n) for n in counts.values()], *[F.col(f"_r{n}.v").alias(n) for n in olds.values()]
     )
@@ -176,8 +184,8 @@ def _state(value: Column) -> Column:
     return F.when(value.isNull(), "NOT_AVAILABLE").when(value == 0, "ZERO").otherwise("VALUE")
 
 
-def with_look_backs(rows: DataFrame, keys: list[str], ts: str, backs: dict[LookBack, str], sources: dict[str, Source] | None = None) -> DataFrame:
-    """Rows with a column and a ``_state`` for each look-back; every row stays, once."""
+def with_look_backs(rows: DataFrame, keys: list[str], ts: str, backs: dict[LookBack, str], sources: dict[str, Source] | None = None, hot: DataFrame | str | None = FIND) -> DataFrame:
+    """Rows with a column and a ``_state`` for each look-back; every row stays, once. ``hot``: hot keys, where the caller knows them."""
     sources = sources or {}
     for b in backs:
         if b.kind == "count" and b.of not in sources and b.of not in rows.columns:
@@ -187,7 +195,7 @@ def with_look_backs(rows: DataFrame, keys: list[str], ts: str, backs: dict[LookB
     changes = {b: n for b, n in backs.items() if b.kind in ("changed_by", "percentage_change")}
     olds = {key: f"_old_{key[0]}_{key[1]}" for key in sorted({(b.of, b.days) for b in changes})}
     if counts or olds:
-        out = _one_pass(rows, keys, ts, counts, olds, sources)
+        out = _one_pass(rows, keys, ts, counts, olds, sources, hot)
     for b, n in changes.items():
         old = F.col(olds[b.of, b.days])
         moved = _usable(b.of).cast("double") - old
@@ -199,7 +207,7 @@ def with_look_backs(rows: DataFrame, keys: list[str], ts: str, backs: dict[LookB
 
 
 def compile_policies(
-    rows: DataFrame, keys: list[str], ts: str, policies: list[Policy], sources: dict[str, Source] | None = None
+    rows: DataFrame, keys: list[str], ts: str, policies: list[Policy], sources: dict[str, Source] | None = None, hot: DataFrame | str | None = FIND
 ) -> tuple[DataFrame, list[Policy], dict[LookBack, str]]:
     """Rows with all look-backs of the policies, the policies over these columns, and which column holds which look-back.
 
@@ -207,4 +215,4 @@ def compile_policies(
     own values; those outside may still be overridden when the policies are evaluated.
     """
     plain, backs = lift(policies)
-    return with_look_backs(rows, keys, ts, backs, sources), plain, backs
+    return with_look_backs(rows, keys, ts, backs, sources, hot), plain, backs

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from tideglass.functions.scalars import usable_dpd, value_state
 from tideglass.operators import features as feat, policy as pol, policy_windows as pw
+from tideglass.operators.ordered import hot_keys
 from tideglass.plans.sqltext import DPD_FEATURES, PAYMENT_POINTS, UTILIZATION
 from tideglass.plans.utilization import util
 from tideglass.registry import query
@@ -211,13 +212,18 @@ wnd AS (SELECT event_id, effective_at, limit_at, v, full_count, v - old AS moved
 def windowed(t):
     """Utilisation with every look-back that the two policies name, and the policies over them."""
     latest = t.limit_changed.groupBy("facility_id").agg(F.max("effective_at").alias("limit_at"))
-    rows = util_rows(t).join(latest, "facility_id", "left")
+    # Rows of a facility lie together after the as-of, so the newest limit is joined there.
+    with_latest = lambda rows, hot: rows.join(latest, "facility_id", "left")
+    # Rating actions are the orders that limits are, transfers some of the lines that outstandings are: these two tell which facilities are hot in all.
+    hot = hot_keys(t.outstanding_changed.select("facility_id").unionAll(t.limit_changed.select("facility_id")), ["facility_id"])
+    rows = feat.utilization(t.outstanding_changed, t.limit_changed, with_latest, hot).withColumn("utilization_ratio_state", F.col("state"))
+    rows = rows.select("facility_id", "event_id", "effective_at", "utilization_ratio", "utilization_ratio_state", "limit_at")
     sources = {
         "limit_change": pw.Source(t.limit_changed, ("facility_id",), "effective_at"),
         "rating_action": pw.Source(t.rating_action, ("issuer_id",), "action_time"),
         "transfer": pw.Source(t.transfer, ("payer_id",), "event_time"),
     }
-    return pw.compile_policies(rows, ["facility_id"], "effective_at", [UNDER_PRESSURE, ROUTED_AWAY], sources)
+    return pw.compile_policies(rows, ["facility_id"], "effective_at", [UNDER_PRESSURE, ROUTED_AWAY], sources, hot)
 
 
 @query(
