@@ -6,7 +6,7 @@ from collections import Counter
 import pytest
 from pyspark.sql import Window, functions as F
 
-from tideglass.operators.ordered import asof, by_heat, exact_median, hot_keys, ranked_values, rolling, running, sessions, with_previous
+from tideglass.operators.ordered import asof, by_heat, exact_median, hot_keys, ranked_values, rolling, rolling_sums, running, sessions, with_previous
 
 
 @pytest.fixture(scope="module", params=["1000000", "50"], ids=["usual", "hot"])
@@ -46,7 +46,7 @@ def test_small_tables_keep_plain_windows(facts, tmp_path):
     assert (hot_keys(df.sparkSession.sql("WITH c AS (SELECT * FROM small_facts) SELECT * FROM c"), ["k"]) is None) == (floor == "1000000")
 
 
-@pytest.mark.parametrize("days", [0.5, 30])
+@pytest.mark.parametrize("days", [1, 30])
 def test_rolling(facts, days):
     df, _ = facts
     got = rolling(df, ["k"], "ts", days, {"n": ("count", "v"), "s": ("sum", "v"), "hi": ("max", "v"), "lo": ("min", "v")})
@@ -214,3 +214,15 @@ def test_change_of_utilization_against_its_mean_before(spark, floor):
         earlier = [r for k, t, r in known.values() if k == f and at - dt.timedelta(days=30) <= t < at]
         want[e] = round(sum(earlier) / len(earlier), 9) if earlier else None
     assert got == want and any(want.values())
+
+
+def test_sums_over_several_look_backs(facts):
+    """In one pass as in two: values that are null, look-backs with none, rows on both ends, null keys and times left out."""
+    df, floor = facts
+    more = df.sparkSession.createDataFrame([(0, 5000, 0), (0, 5001, 30 * 86_400_000_000), (None, 1, 5), (3, 7, None)], "k int, id int, us long").select("k", "id", F.lit(None).cast("int").alias("v"), F.timestamp_micros("us").alias("ts"))
+    points = df.unionByName(more).groupBy("k", "ts").agg(F.sum(F.col("v").cast("decimal(20,2)")).alias("v"), F.count(F.lit(1)).alias("n"))
+    got = rolling_sums(points, ["k"], "ts", [1, 30], ["v", "n"])
+    look = lambda c, days: F.sum(c).over(Window.partitionBy("k").orderBy(F.unix_micros("ts")).rangeBetween(-int(days * 86_400_000_000), 0)).alias(f"{c}_{days}")
+    same(got, points.filter("k IS NOT NULL AND ts IS NOT NULL").select("k", "ts", *[look(c, d) for d in (1, 30) for c in ("v", "n")]))
+    plan = rolling_sums(points, ["k"], "ts", [1, 30], ["n"], hot=None)._jdf.queryExecution().executedPlan().toString()
+    assert plan.index("Generate") < plan.index("Exchange hashpartitioning(k")  # moved once, then spread

@@ -172,6 +172,34 @@ def rolling(
     return rows.select(*keys, _POS, *out).withColumn(ts, F.timestamp_micros(_POS).cast(df.schema[ts].dataType)).drop(_POS)
 
 
+def rolling_sums(df: DataFrame, keys: list[str], ts: str, days: list[int], cols: list[str], hot: DataFrame | str | None = FIND) -> DataFrame:
+    """Sums of ``cols`` over the look-backs [t - d, t] of several lengths, in one pass: (keys, ts) are unique, and the columns exact numbers.
+
+    A row adds its values at its time and takes them back from length d a microsecond after t + d. A sum is named ``<col>_<d>``; it is null
+    where the look-back holds no value. Rows without a time or with a null key are left out.
+    """
+    rows = df.filter(F.col(ts).isNotNull() & F.concat(*[F.col(k).cast("string") for k in keys]).isNotNull()).select(*keys, micros(ts).alias("_us"), *cols)
+
+    def job(rows: DataFrame, hot: DataFrame | None) -> DataFrame:
+        steps = F.array(
+            F.struct(F.col("_us").alias("_at"), F.lit(0).alias("_of")), *[F.struct((F.col("_us") + days_us(d) + 1).alias("_at"), F.lit(i).alias("_of")) for i, d in enumerate(days, 1)]
+        )
+        # Rows of usual keys are moved before they are spread. At one time rows leave before the new one is read.
+        spread = (rows.repartition(*keys) if hot is None else rows).select(*keys, *cols, F.inline(steps))
+        spread = spread.withColumn(_POS, F.timestamp_micros("_at")).withColumn("_last", (F.col("_of") == 0).cast("int"))
+        aggs = {}
+        for i, d in enumerate(days, 1):
+            part = lambda value: F.when(F.col("_of") == 0, value).when(F.col("_of") == i, -value)  # noqa: B023, E731
+            for c in cols:
+                aggs[f"{c}_{d}"] = ("sum", part(F.col(c)))
+                aggs[f"_n_{c}_{d}"] = ("sum", part(F.when(F.col(c).isNotNull(), F.lit(1).cast("bigint"))))
+        found = running(spread, keys, _POS, ["_last", "_of"], aggs, days=max(days), hot=hot).filter("_of = 0")
+        sums = [F.when(F.col(f"_n_{c}_{d}") > 0, F.col(f"{c}_{d}")).alias(f"{c}_{d}") for d in days for c in cols]
+        return found.select(*keys, F.col(_POS).cast(df.schema[ts].dataType).alias(ts), *sums)
+
+    return by_heat(rows, keys, job, hot)
+
+
 def _last_of_block_before(rows: DataFrame, keys: list[str], last: Column) -> DataFrame:
     """One row per block of a hot key, carrying the last value of the block before it."""
     ends = rows.filter(F.col(_HOT)).groupBy(*keys, _BLK).agg(last.alias("_value"))

@@ -3,7 +3,7 @@
 from pyspark.sql import functions as F
 
 from tideglass.operators import catalogue as cat, graph as gr, ml, signal_catalogue as sc, text as tx
-from tideglass.operators.ordered import rolling
+from tideglass.operators.ordered import rolling_sums
 from tideglass.plans.catalogue import CCC, COUNT_SQL, DAILY, NOTCH, PEER, RATIO_SQL, YOY, ZS, _mk, counts, market, peers, ratios, volume_z
 from tideglass.registry import query
 from tideglass.sources.reference import values_sql
@@ -257,11 +257,11 @@ SELECT 'CREDIT_INFLOW_DECLINE' AS signal_type, account_id, event_time FROM r WHE
 )
 def _(t):
     daily = t.transfer.groupBy(F.col("beneficiary_id").alias("account_id"), "event_time").agg(F.sum("amount").alias("amount"), F.count(F.lit(1)).alias("n"))
-    a = rolling(daily, ["account_id"], "event_time", 30, {"s30": ("sum", "amount"), "n30": ("sum", "n")}, 1, per_event=False)
-    b = rolling(daily, ["account_id"], "event_time", 120, {"s120": ("sum", "amount"), "n120": ("sum", "n")}, 4, per_event=False)
-    both = a.join(b, ["account_id", "event_time"])
-    fire = lambda name, cond: both.filter(cond).select(F.lit(name).alias("signal_type"), "account_id", "event_time")
-    return fire("CREDIT_INFLOW_DECLINE", "6 * s30 <= s120 - s30").unionByName(fire("TRANSACTION_VOLUME_COLLAPSE", "9 * n30 <= n120 - n30"))
+    both = rolling_sums(daily, ["account_id"], "event_time", [30, 120], ["amount", "n"])
+    hits = F.array(
+        F.when(F.expr("6 * amount_30 <= amount_120 - amount_30"), "CREDIT_INFLOW_DECLINE"), F.when(F.expr("9 * n_30 <= n_120 - n_30"), "TRANSACTION_VOLUME_COLLAPSE")
+    )
+    return both.select(F.explode(F.filter(hits, lambda h: h.isNotNull())).alias("signal_type"), "account_id", "event_time")
 
 
 SERIES = """SELECT 'revenue_by_market' AS series, c.market AS member, s.period_start AS period, CAST(sum(s.revenue) AS DECIMAL(28,4)) AS total FROM b_statement s JOIN b_counterparty c ON s.counterparty_id = c.counterparty_id GROUP BY c.market, s.period_start
