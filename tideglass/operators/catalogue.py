@@ -51,8 +51,10 @@ COUNTS = [
 RATING_SCALE = [("A", 1, 0.1), ("BBB", 2, 0.4), ("BB", 3, 1.5), ("B", 4, 5.0), ("CCC", 5, 20.0)]
 
 
-def _unpivot(df: DataFrame, entity: str, observed_at: str, entries: list[tuple[str, Column, Column]]) -> DataFrame:
-    cells = F.array(*[F.struct(F.lit(n).alias("n"), v.cast("double").alias("v"), s.alias("s")) for n, v, s in entries])
+def _unpivot(df: DataFrame, entity: str, observed_at: str, entries: list[tuple[str, Column, Column]], only: set[str] | None = None) -> DataFrame:
+    """One row a feature; ``only`` these where given, so that what the others read is not computed."""
+    cells = [F.struct(F.lit(n).alias("n"), v.cast("double").alias("v"), s.alias("s")) for n, v, s in entries if only is None or n in only]
+    cells = F.array(*cells) if cells else F.array().cast("array<struct<n:string,v:double,s:string>>")
     rows = df.select(F.col(entity).alias("entity_id"), F.col(observed_at).alias("observed_at"), F.explode(cells).alias("c"))
     return rows.select("entity_id", "observed_at", F.col("c.n").alias("feature_name"), F.col("c.v").alias("value"), F.col("c.s").alias("state"))
 
@@ -64,15 +66,15 @@ def _ratio(num: Column, den: Column, scale: int = 1) -> tuple[Column, Column]:
     return value, F.when(~ok, "INVALID").when(num == 0, "ZERO").otherwise("VALUE")
 
 
-def statement_ratios(statements: DataFrame) -> DataFrame:
+def statement_ratios(statements: DataFrame, only: set[str] | None = None) -> DataFrame:
     entries = []
     for name, num, den, scale in RATIOS:
         value, state = _ratio(F.expr(num), F.expr(den), scale)
         entries.append((name, value, state))
-    return _unpivot(statements, "counterparty_id", "period_start", entries)
+    return _unpivot(statements, "counterparty_id", "period_start", entries, only)
 
 
-def statement_levels(statements: DataFrame) -> DataFrame:
+def statement_levels(statements: DataFrame, only: set[str] | None = None) -> DataFrame:
     parts = [_ratio(F.expr(n), F.expr(d), s) for name, n, d, s in RATIOS if name in ("receivable_days", "inventory_days", "payable_days")]
     ccc = parts[0][0] + parts[1][0] - parts[2][0]
     ocf, fcf = F.col("operating_cash_flow"), F.expr("operating_cash_flow - capital_expenditure")
@@ -80,10 +82,10 @@ def statement_levels(statements: DataFrame) -> DataFrame:
     return _unpivot(statements, "counterparty_id", "period_start", [
         ("operating_cash_flow", ocf, state(ocf)), ("free_cash_flow", fcf, state(fcf)),
         ("cash_conversion_cycle", F.round(ccc, 6), state(ccc)),
-    ])
+    ], only)
 
 
-def statement_changes(statements: DataFrame) -> DataFrame:
+def statement_changes(statements: DataFrame, only: set[str] | None = None) -> DataFrame:
     """Against the same quarter a year before, and against the quarter before."""
     base = statements.select("counterparty_id", "period_start", "revenue", "ebitda", "current_assets", "operating_cash_flow")
 
@@ -105,7 +107,7 @@ def statement_changes(statements: DataFrame) -> DataFrame:
         ("ebitda_margin_change_yoy", margin, absent("y_revenue", F.when(margin == 0, "ZERO").otherwise("VALUE"))),
         ("cash_balance_change", cash, absent("q_current_assets", cash_state)),
         ("operating_profit_projection_variance", variance, absent("y_operating_cash_flow", variance_state)),
-    ])
+    ], only)
 
 
 def event_counts(events: DataFrame) -> DataFrame:
@@ -160,19 +162,23 @@ def scale(spark) -> DataFrame:
     return values(spark, ["rating", "notch", "pd"], RATING_SCALE)
 
 
-def rating_features(actions: DataFrame) -> DataFrame:
+def rating_features(actions: DataFrame, only: set[str] | None = None) -> DataFrame:
     """Notch movements per issuer and agency; scales of different agencies are never mixed."""
     keys = ["issuer_id", "agency"]
     rows = actions.join(scale(actions.sparkSession), "rating")
     stepped = with_previous(rows, keys, "action_time", ["action_id"], {"_before": "notch"}, days=365)
     stepped = stepped.withColumn("step", F.col("notch") - F.col("_before"))
-    out = stepped
+    out = stepped.withColumns({"n_90d": F.lit(None).cast("int"), "n_12m": F.lit(None).cast("int"), "velocity": F.lit(None).cast("bigint")})
     for name, days in (("90d", 90), ("12m", 365)):
+        if only is not None and f"external_rating_notch_change_{name}" not in only:
+            continue
         then = rows.select(*keys, "action_time", F.col("notch").alias(f"n_{name}"), F.col("action_id").alias("_tie"))
-        asked = out.withColumn("_then", F.col("action_time") - F.expr(f"INTERVAL {days} DAYS"))
+        asked = out.drop(f"n_{name}").withColumn("_then", F.col("action_time") - F.expr(f"INTERVAL {days} DAYS"))
         out = asof(asked, then, keys, "_then", "action_time", [f"n_{name}"], ["_tie"], days=365)
-    moved = rolling(stepped.withColumn("_abs", F.abs("step")), keys, "action_time", 365, {"velocity": ("sum", "_abs")}, 12, per_event=False)
-    out = out.join(moved, [*keys, "action_time"], "left").withColumn("issuer_key", F.concat_ws("|", *keys, "action_id"))
+    if only is None or "rating_migration_velocity" in only:
+        moved = rolling(stepped.withColumn("_abs", F.abs("step")), keys, "action_time", 365, {"velocity": ("sum", "_abs")}, 12, per_event=False)
+        out = out.drop("velocity").join(moved, [*keys, "action_time"], "left")
+    out = out.withColumn("issuer_key", F.concat_ws("|", *keys, "action_id"))
     have = lambda c: F.when(c.isNull(), "NOT_AVAILABLE").when(c == 0, "ZERO").otherwise("VALUE")
     d90, d12 = F.expr("notch - n_90d"), F.expr("notch - n_12m")
     velocity = F.coalesce("velocity", F.lit(0))
@@ -180,7 +186,7 @@ def rating_features(actions: DataFrame) -> DataFrame:
         ("external_rating_notch_change", F.col("step"), have(F.col("step"))),
         ("external_rating_notch_change_90d", d90, have(d90)), ("external_rating_notch_change_12m", d12, have(d12)),
         ("rating_migration_velocity", velocity, have(velocity)),
-    ])
+    ], only)
 
 
 def rating_states(actions: DataFrame, now: Column) -> DataFrame:
@@ -215,7 +221,7 @@ def market_daily(quotes: DataFrame) -> DataFrame:
     )
 
 
-def market_features(daily: DataFrame) -> DataFrame:
+def market_features(daily: DataFrame, only: set[str] | None = None) -> DataFrame:
     """Drawdown from the rolling high and yield, spread changes over 5 and 30 days.
 
     There is one row per security and day, so windows over a security are bounded by the calendar.
@@ -237,7 +243,7 @@ def market_features(daily: DataFrame) -> DataFrame:
         )
         for name, col in (("bond_price_drawdown", f"_dd{days}"), ("bond_yield_change_bps", f"_y{days}"), ("credit_spread_change_bps", f"_s{days}")):
             entries.append((f"{name}_{days}d", F.col(col), have(F.col(col))))
-    return _unpivot(rows, "security_id", "day", entries)
+    return _unpivot(rows, "security_id", "day", entries, only)
 
 
 def own_history_zscore(daily: DataFrame, value: str, days: int, minimum: int) -> DataFrame:

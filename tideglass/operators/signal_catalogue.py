@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
 
-from tideglass.operators.ordered import rolling, with_previous
+from tideglass.operators.ordered import FIND, rolling, with_previous
 from tideglass.sources.reference import values
 
 # (signal, feature, operator, threshold, severity)
@@ -94,15 +94,19 @@ def threshold(features: DataFrame, rows=THRESHOLD) -> DataFrame:
     return features.filter(F.col("state").isin("VALUE", "ZERO")).join(p, "feature_name").filter(hit).select(*COLUMNS)
 
 
-def trend(features: DataFrame, rows=TREND) -> DataFrame:
-    """Adverse change to the last usable value of the entity, or a change feature beyond its level."""
+def trend(features: DataFrame, rows=TREND, hot: DataFrame | str | None = FIND) -> DataFrame:
+    """Adverse change to the last usable value of the entity, or a change feature beyond its level, which needs no earlier value.
+
+    ``hot``: hot (entity, feature) of the adverse changes, None where the calendar bounds them.
+    """
     p = _policies(features, [(s, f, d, float(x), v) for s, f, d, x, v in rows], ["direction", "change", "severity"])
-    names = sorted({r[1] for r in rows})
-    usable = features.filter(F.col("state").isin("VALUE", "ZERO") & F.col("feature_name").isin(names))
-    moved = with_previous(usable, ["entity_id", "feature_name"], "observed_at", [], {"previous": "value"}, days=365)
+    named = lambda level: sorted({r[1] for r in rows if (r[2] not in ("UP", "DOWN")) == level})
+    usable = features.filter(F.col("state").isin("VALUE", "ZERO"))
+    moved = with_previous(usable.filter(F.col("feature_name").isin(named(False))), ["entity_id", "feature_name"], "observed_at", [], {"previous": "value"}, days=365, hot=hot)
     v, b, x, d = F.col("value"), F.col("previous"), F.col("change").cast("double"), F.col("direction")
-    hit = F.when(d == "UP", v - b >= x).when(d == "DOWN", b - v >= x).otherwise(v >= x)
-    return moved.join(p, "feature_name").filter(hit).select(*COLUMNS)
+    fell_or_rose = F.when(d == "UP", v - b >= x).when(d == "DOWN", b - v >= x)
+    far = usable.filter(F.col("feature_name").isin(named(True))).join(p.filter(~d.isin("UP", "DOWN")), "feature_name").filter(v >= x)
+    return moved.join(p, "feature_name").filter(fell_or_rose).select(*COLUMNS).unionByName(far.select(*COLUMNS))
 
 
 def spike(points: DataFrame, keys: list[str], ts: str, value: str, days: int, factor: float, minimum: int) -> DataFrame:

@@ -20,8 +20,8 @@ RATIO_SQL = "ratios AS (" + " UNION ALL ".join(ratio_sql(*r) for r in cat.RATIOS
 
 
 @query("feature_ratio", f"WITH {RATIO_SQL} SELECT * FROM ratios")
-def ratios(t):
-    return cat.statement_ratios(t.statement).withColumn("observed_at", F.col("observed_at").cast("timestamp_ntz"))
+def ratios(t, only=None):
+    return cat.statement_ratios(t.statement, only).withColumn("observed_at", F.col("observed_at").cast("timestamp_ntz"))
 
 
 def _days(n, d):
@@ -139,8 +139,8 @@ def _mk(days):
     f"""WITH {DAILY}, l AS (SELECT security_id AS entity_id, CAST(day AS TIMESTAMP) AS observed_at, unnest(['bond_price_drawdown_5d','bond_yield_change_bps_5d','credit_spread_change_bps_5d','bond_price_drawdown_30d','bond_yield_change_bps_30d','credit_spread_change_bps_30d']) AS feature_name, unnest([{_mk(5)}, {_mk(30)}]) AS value FROM sp)
 SELECT *, CASE WHEN value IS NULL THEN 'NOT_AVAILABLE' WHEN value = 0 THEN 'ZERO' ELSE 'VALUE' END AS state FROM l""",
 )
-def market(t):
-    return cat.market_features(cat.market_daily(t.market_quote))
+def market(t, only=None):
+    return cat.market_features(cat.market_daily(t.market_quote), only)
 
 
 @query("win_drawdown", f"WITH {DAILY} SELECT security_id, CAST(day AS TIMESTAMP) AS day, round(1 - CAST(close AS DOUBLE) / CAST(max(high) OVER (PARTITION BY security_id ORDER BY day RANGE BETWEEN INTERVAL 30 DAY PRECEDING AND CURRENT ROW) AS DOUBLE), 8) AS drawdown FROM sp")

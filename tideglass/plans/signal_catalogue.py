@@ -15,13 +15,13 @@ CHANGE_SQL = f"""{YOY}, cg AS (SELECT entity_id, observed_at, 'revenue_yoy_chang
 SIDES = "SELECT entity_id, observed_at, feature_name, value FROM ratios UNION ALL SELECT * FROM lv UNION ALL SELECT * FROM cg"
 
 
-def statement_long(t):
+def statement_long(t, only=None):
     ntz = lambda d: d.withColumn("observed_at", F.col("observed_at").cast("timestamp_ntz"))
-    return ratios(t).unionByName(ntz(cat.statement_levels(t.statement))).unionByName(ntz(cat.statement_changes(t.statement)))
+    return ratios(t, only).unionByName(ntz(cat.statement_levels(t.statement, only))).unionByName(ntz(cat.statement_changes(t.statement, only)))
 
 
-def all_long(t):
-    return statement_long(t).unionByName(market(t))
+def all_long(t, only=None):
+    return statement_long(t, only).unionByName(market(t, only))
 
 
 @query(
@@ -45,7 +45,9 @@ WHERE CASE direction WHEN 'UP' THEN value - previous >= change WHEN 'DOWN' THEN
 )
 def _(t):
     text = lambda d: d.withColumn("entity_id", F.col("entity_id").cast("string"))
-    return sc.trend(text(all_long(t)).unionByName(text(cat.rating_features(t.rating_action))))
+    named = {feature for _, feature, *_ in sc.TREND}
+    # Adverse changes are of statement features, one row a quarter: the calendar bounds what an entity has of a feature.
+    return sc.trend(text(all_long(t, named)).unionByName(text(cat.rating_features(t.rating_action, named))), hot=None)
 
 
 SPIKE = """tr AS (SELECT payer_id, event_time, sum(amount) AS amount FROM b_transfer WHERE related_party GROUP BY ALL),
